@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing
+from . import exact, minhash, mixing, packing
 
 QUERIES = {
+    "op2_minhash_neardup": minhash.query,
     "op3_exact_dedup": exact.query,
     "op6_packing": packing.query,
     "op8_source_mixing": mixing.query,

@@ -102,8 +102,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     out[whole] = run[pos[whole]]
     for i in np.flatnonzero((n > 0) & (n < k)):
         w = words[first[i] : first[i + 1]]
-        x = np.uint64(len(w)) * _C[4]
-        for j, v in enumerate(w):
-            x = x + (v ^ np.uint64(j)) * _C[j % 5]
-        out[at[i]] = mix(np.array([x ^ np.uint64(0x5851F42D4C957F2D)]))[0]
+        j = np.arange(len(w))
+        x = ((w ^ j.astype(np.uint64)) * np.array(_C)[j % 5]).sum(keepdims=True) + np.array([len(w)], np.uint64) * _C[4]
+        out[at[i]] = mix(x ^ np.uint64(0x5851F42D4C957F2D))[0]
     return out, at
