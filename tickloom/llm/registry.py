@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, minhash, mixing, packing
+from . import exact, lines, minhash, mixing, packing, quality
 
 QUERIES = {
+    "op1_line_dedup": lines.query,
     "op2_minhash_neardup": minhash.query,
     "op3_exact_dedup": exact.query,
+    "op5_quality_resampling": quality.query,
     "op6_packing": packing.query,
     "op8_source_mixing": mixing.query,
 }
