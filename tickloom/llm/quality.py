@@ -33,7 +33,7 @@ from .words import Prefix, mix
 
 BUCKETS = 1 << 17
 KAPPA = 4.0
-MISS = 0.004
+MISS = 0.001
 MAX_LABELS = 50_000
 SEED = 11
 HELD_OUT = 5  # one label in so many only sets the level
@@ -121,12 +121,11 @@ def log_ratio(raw: np.ndarray, good: np.ndarray, kappa: float = KAPPA) -> np.nda
     if not good.sum():
         return np.zeros(len(raw), np.float32)
     expected = raw * (good.sum() / max(1, raw.sum()))
-    p = (good + kappa) / (expected + kappa)
-    return np.log(p).astype(np.float32)
+    return np.log((good + kappa) / (expected + kappa)).astype(np.float32)
 
 
 def _noise(ids: np.ndarray, seed: int) -> np.ndarray:
-    u = mix(ids.view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+    u = mix(mix(ids.view(np.uint64)) ^ np.uint64(seed)) >> np.uint64(11)
     return -np.log(-np.log((u.astype(np.float64) + 0.5) / (1 << 53)))
 
 
