@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, lines, minhash, mixing, packing, quality
+from . import ann, exact, lines, minhash, mixing, packing, quality
 
 QUERIES = {
     "op1_line_dedup": lines.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact.query,
     "op5_quality_resampling": quality.query,
     "op6_packing": packing.query,
+    "op7_graph_ann": ann.query,
     "op8_source_mixing": mixing.query,
 }
 ORACLES = {"op3_exact_dedup": exact.ORACLE}
