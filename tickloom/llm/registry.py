@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, exact, lines, minhash, mixing, packing, quality
+from . import ann, exact, lines, minhash, mixing, packing, quality, secrets
 
 QUERIES = {
     "op1_line_dedup": lines.query,
     "op2_minhash_neardup": minhash.query,
     "op3_exact_dedup": exact.query,
+    "op4_crf_secrets": secrets.query,
     "op5_quality_resampling": quality.query,
     "op6_packing": packing.query,
     "op7_graph_ann": ann.query,
