@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact, lines, minhash, mixing, packing, quality, secrets
+from . import ann, exact, licenses, lines, minhash, mixing, packing, quality, secrets, tokencount
 
 QUERIES = {
     "op1_line_dedup": lines.query,
@@ -13,5 +13,7 @@ QUERIES = {
     "op6_packing": packing.query,
     "op7_graph_ann": ann.query,
     "op8_source_mixing": mixing.query,
+    "op9_license_compression": licenses.query,
+    "op10_edit_token_counts": tokencount.query,
 }
 ORACLES = {"op3_exact_dedup": exact.ORACLE}

@@ -173,6 +173,14 @@ class PieceTokenizer:
         key, back = self._known(data, s, e)
         return (self.at[key + 1] - self.at[key])[back]
 
+    def needs_whole(self, text: str) -> bool:
+        """Must this text go to the library as one?"""
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        return bool(len(self._whole_rows(raw, np.array([0, len(raw)]))))
+
+    def count(self, text: str) -> int:
+        return len(self.inner.encode(text, add_special_tokens=False).ids)
+
     def _known(self, data, s, e) -> tuple[np.ndarray, np.ndarray]:
         """(slot, back): the slots of the different pieces, and each piece's index among them."""
         key, at, back = np.unique(Prefix(data).span(s, e), return_index=True, return_inverse=True)
