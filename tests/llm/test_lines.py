@@ -50,4 +50,6 @@ def test_awkward_and_empty(spark):
     got = lines.dedup_lines(docs, 5)
     assert got.columns == docs.columns and got.where("doc_id is null").count() == 1
     assert lines.line_report(docs, 5).count() == docs.where("doc_id is not null").select("doc_id").distinct().count()
+    extra = docs.selectExpr("*", "1 AS spans", "doc_id AS doc", "text AS text_hash", "2 AS rank")
+    assert lines.dedup_lines(extra, 5).columns == extra.columns and lines.dedup_lines(extra, 5).count() == got.count()
     assert lines.line_report(empty(spark)).count() == 0 and lines.dedup_lines(empty(spark)).count() == 0

@@ -167,14 +167,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Documents of which no line is left are copies as a whole and go.
     """
     who, runs = repeated_runs(docs, min_words)
-    cut = _merged(runs).withColumnRenamed("doc", "d_")
-    cut = cut.join(who.select(F.col("doc").alias("w_"), F.col("text_hash").alias("t_")), F.col("d_") == F.col("w_")).drop("w_")
-    joined = docs.join(cut, docs["doc_id"] == F.col("d_"), "left")
-    names = [f for f in docs.columns]
+    # own columns carry a prefix, so that a table's further columns can't clash with them
+    cut = _merged(runs).select(F.col("doc").alias("__line_doc"), F.col("spans").alias("__line_spans"))
+    cut = cut.join(who.select(F.col("doc").alias("__line_who"), F.col("text_hash").alias("__line_hash")), F.col("__line_doc") == F.col("__line_who")).drop("__line_who")
+    joined = docs.join(cut, F.col("doc_id") == F.col("__line_doc"), "left")
+    names = list(docs.columns)
 
     def run(batches):
         for batch in batches:
-            spans, want = batch.column("spans").to_pylist(), batch.column("t_").to_pylist()
+            spans, want = batch.column("__line_spans").to_pylist(), batch.column("__line_hash").to_pylist()
             text, keep_row = batch.column("text").to_pylist(), []
             for r, raw, start, end, has, _, _, _, whole in _rows(batch.column("text"), 1):
                 if not spans[r] or want[r] != int(whole):
@@ -192,7 +193,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 cols[names.index("n_chars")] = pa.array(sizes, batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep_row, pa.bool_()))
 
-    return joined.select(*[docs[c] for c in names], "spans", "t_").mapInArrow(run, docs.schema)
+    return joined.select(*names, "__line_spans", "__line_hash").mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
