@@ -30,7 +30,7 @@ SHARD = 8192
 QUERY_BLOCK = 4096
 DEGREE = 24
 BUILD_BEAM = 48
-SEARCH_BEAM = 96
+SEARCH_BEAM = 128
 ALPHA = 1.2
 
 
