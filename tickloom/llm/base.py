@@ -9,7 +9,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows are handed to NumPy in slices of about this many text bytes, so temporaries stay small.
 SLICE_BYTES = 1 << 20
@@ -68,10 +67,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_row_key(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return df.where(F.col(id_col).isNotNull())
-
-
 # ---------------------------------------------------------------------------------------
 # Arrow → NumPy
 
