@@ -66,6 +66,14 @@ def test_contract_parameters(spark):
     check(docs, 3, 85)
 
 
+def test_blocks_and_buckets_agree(spark, monkeypatch):
+    docs = spark.createDataFrame(near_copies(120, 8), SCHEMA)
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 16)
+    check(docs, 3, 85)
+    monkeypatch.setattr(minhash, "CLUSTER", 0)
+    check(docs, 3, 85)
+
+
 def test_defaults_and_empty(spark):
     check(spark.createDataFrame(near_copies(60, 6), SCHEMA), 5, 80)
     assert minhash.near_duplicates(empty(spark)).count() == 0

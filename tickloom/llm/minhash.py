@@ -10,10 +10,13 @@ most pairs also have other paths to each other, and under 1e-9 at s = 0.95.
 Only documents that share a half key with another on both sides get table keys at all, so most
 texts leave before the tables. Equal sets are one class before any of this. In each bucket all
 members are compared with one pivot, the member that shares most buckets with others, which is
-linear in the bucket; what lies in one component after that needs no further comparison. Buckets
-that still hold several components are finished: every pair across components is
-compared unless it was already, but those whose 512-bit sketches lie six standard deviations
-below the wanted similarity. Links are confirmed on the full sets.
+linear in the bucket; what lies in one component after that needs no further comparison. Texts
+joined by candidate pairs form clusters; where a cluster still holds several components, every
+text outside its main component is compared with all others of the cluster by counting common
+shingles over an inverted list, in blocks of bounded size, which needs no pair to be written.
+Clusters of more than CLUSTER such texts are compared bucket by bucket instead, where 512-bit
+sketches spare the pairs six standard deviations below the wanted similarity. Links are
+confirmed on the full sets.
 
 Defined results: a text of fewer than k words is one shingle, of none (or null) has an empty set
 and is linked with nothing; a row with null doc_id shares its class's component but never names
@@ -36,6 +39,10 @@ from .words import Prefix, bounds, mix, shingles
 BANDS = 12
 ROWS = 3
 SEED = 7
+#: Texts outside the main component up to which a cluster is compared in blocks, and a block's bounds.
+CLUSTER = 16_384
+BLOCK_TEXTS = 1_024
+BLOCK_SHINGLES = 1 << 20
 #: Bits of the sketch that spares comparisons of candidates far below the wanted similarity.
 SKETCH = 512
 _SIG = "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"
@@ -136,10 +143,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, kept.
-
-    ``n_links`` counts the confirmed links of the row's class.
-    """
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     two = docs.select(F.col("doc_id").cast("long"), "text")
     sigs = staged(two.mapInArrow(_signatures(k, bands, rows, seed), _SIG), "minhash")
     full = sigs.where("n_shingles > 0")
@@ -165,17 +169,101 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     hits = staged(keys2.join(pivot, F.col("key") == F.col("q")).select("key", "id", "pivot"), "hits")
     pairs = staged(hits.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
     links = staged(verified(pairs, sets, percent), "links")
-    more = staged(verified(_open_pairs(hits, pairs, components(links), sets, percent), sets, percent), "links")
-    every = links.unionByName(more)
-    final = staged(components(every), "labels")
-    drop_staged(keys2, hits, pairs, sets, degree)
-
-    ends = every.unionByName(every.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.count("*").alias("n_links"))
-    byclass = classes.join(final.withColumnRenamed("id", "n"), F.col("id") == F.col("n"), "left").join(ends, F.col("id") == F.col("u"), "left")
-    byclass = byclass.select(F.col("digest").alias("dg"), F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    labels = staged(components(links), "labels")
+    more = staged(_cross_links(hits, pairs, labels, sets, percent), "links")
+    final = staged(components(links.unionByName(more)), "labels")
+    drop_staged(keys2, hits, pairs, sets, degree, labels, links, more)
+
+    byclass = classes.join(final.withColumnRenamed("id", "n"), F.col("id") == F.col("n"), "left")
+    byclass = byclass.select(F.col("digest").alias("dg"), F.coalesce("component", "id").alias("component"))
     out = sigs.join(byclass, (F.col("digest") == F.col("dg")) & (F.col("n_shingles") > 0), "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+
+
+def _cross_links(hits: DataFrame, pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join the components of each cluster which belong together."""
+    clusters = components(pairs).withColumnRenamed("component", "cluster")
+    lab = labels.withColumnRenamed("id", "n")
+    size = sets.select(F.col("id").alias("s"), F.size("shingles").cast("long").alias("weight"))
+    of = clusters.join(lab, F.col("id") == F.col("n"), "left").join(size, F.col("id") == F.col("s"))
+    of = staged(of.select("id", "cluster", F.coalesce("component", "id").alias("comp"), "weight"), "clusters")
+    drop_staged(clusters)
+    parts = of.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    whole = parts.groupBy("cluster").agg(F.max(F.struct("n", "comp", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    whole = whole.select(
+        F.col("cluster").alias("c"),
+        F.col("main.comp").alias("main"),
+        (F.col("n") - F.col("main.n")).alias("minors"),
+        blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("b"),
+        blocks(F.col("main.n"), F.col("main.w")).alias("m"),
+    )
+    whole = staged(whole, "clusters")
+
+    rows = of.join(whole.where(F.col("minors") <= CLUSTER), F.col("cluster") == F.col("c")).withColumn("h", F.xxhash64("id"))
+    block = F.when(F.col("comp") != F.col("main"), F.pmod("h", "b")).otherwise(F.col("b") + F.pmod("h", "m")).cast("int")
+    rows = rows.withColumn("block", block)
+    others = F.when(F.col("block") < F.col("b"), F.col("b") + F.col("m")).otherwise(F.col("b"))
+    unit = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    full = unit.select("cluster", "i", "j", "block", "id", "comp").join(sets.select(F.col("id").alias("s"), "shingles"), F.col("id") == F.col("s")).drop("s")
+    links = full.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
+
+    big = whole.where(F.col("minors") > CLUSTER).select("c")
+    if not big.isEmpty():
+        inside = of.join(big, F.col("cluster") == F.col("c")).select(F.col("id").alias("x"))
+        there = hits.join(inside, F.col("id") == F.col("x"), "left_semi")
+        links = links.unionByName(verified(_open_pairs(there, pairs, labels, sets, percent), sets, percent))
+    return links
+
+
+def _block_links(percent: int):
+    """For two blocks of a cluster, links that join different components: no more than joins need."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        block, ids, comp = (t.column(c).to_numpy() for c in ("block", "id", "comp"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        lists = t.column("shingles").combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        at = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        n = np.diff(at)
+        doc = np.repeat(np.arange(len(ids)), n)
+        order = np.argsort(flat, kind="stable")
+        new = np.append(True, flat[order][1:] != flat[order][:-1])
+        begin = np.flatnonzero(new)
+        many = np.diff(np.append(begin, len(flat)))
+        name = np.empty(len(flat), np.int64)
+        name[order] = np.cumsum(new) - 1
+        listed = doc[order]
+        group = {int(c): int(c) for c in np.unique(comp)}
+
+        def root(c: int) -> int:
+            while group[c] != c:
+                group[c] = group[group[c]]
+                c = group[c]
+            return c
+
+        right = block == j
+        u_out, v_out = [], []
+        for u in np.flatnonzero(block == i):
+            s = name[at[u] : at[u + 1]]
+            s = s[many[s] > 1]
+            if not len(s):
+                continue
+            k = many[s]
+            where = np.repeat(begin[s] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            common = np.bincount(listed[where], minlength=len(ids))
+            near = right & (comp != comp[u]) & (common * 100 >= (n + n[u] - common) * percent)
+            for v in np.flatnonzero(near):
+                a, b = root(int(comp[u])), root(int(comp[v]))
+                if a != b:
+                    group[max(a, b)] = min(a, b)
+                    u_out.append(ids[u])
+                    v_out.append(ids[v])
+        return pa.table({"u": pa.array(u_out, pa.int64()), "v": pa.array(v_out, pa.int64())})
+
+    return run
 
 
 def _open_pairs(hits: DataFrame, pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,3 +296,25 @@ def _open_pairs(hits: DataFrame, pairs: DataFrame, labels: DataFrame, sets: Data
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
+  FROM w
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM p WHERE 100 * c >= 85 * (n + m - c)
+), reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT links.v, reach.root FROM reach JOIN links ON links.u = reach.id
+), roots AS (
+  SELECT id, min(root) AS component_id FROM reach GROUP BY 1
+)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN roots ON id = doc_id
+"""
