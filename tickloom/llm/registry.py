@@ -16,4 +16,8 @@ QUERIES = {
     "op9_license_compression": licenses.query,
     "op10_edit_token_counts": tokencount.query,
 }
-ORACLES = {"op3_exact_dedup": exact.ORACLE}
+ORACLES = {
+    "op1_line_dedup": lines.ORACLE,
+    "op2_minhash_neardup": minhash.ORACLE,
+    "op3_exact_dedup": exact.ORACLE,
+}
