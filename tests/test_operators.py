@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions import clock, price
+from tickloom.functions import clock, model_inputs, price
 from tickloom.operators import backtest, catalog, contract, evaluate, features, windows
 
 K = "stock_code string, date string, session int, row_idx long"
@@ -93,3 +93,13 @@ def test_contracts():
     for text in ('{"a": 1, "a": 2}', '{"a": NaN}'):
         with pytest.raises(ValueError):
             contract.load_json(text)
+
+
+def test_schedule_and_scorer(spark):
+    df = spark.createDataFrame([(0,), (2,), (10,), (100,)], "s int")
+    got = [r[0] for r in df.orderBy("s").select(model_inputs.warmup_cosine(F.col("s"), 0.01, 10, 2, 0.1)).collect()]
+    assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got, [0.0, 0.01, 0.001, 0.001], strict=True))
+    scored = model_inputs.score_windows(spark.createDataFrame([([1.0, 2.0],), ([3.0],)], "history array<double>"), lambda x: x.map(sum))
+    assert sorted(r.pred for r in scored.collect()) == [3.0, 3.0]
+    with pytest.raises(ValueError):
+        model_inputs.standardise(F.col("x"), 0.0, 0.0)

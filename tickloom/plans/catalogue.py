@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import clock, price
-from ..operators import backtest, baseline, book, catalog, evaluate, features
+from ..functions import clock, model_inputs, price
+from ..operators import backtest, baseline, book, catalog, compare, evaluate, features
 from ..operators import windows as win
 from ..sources.quotes import KEY, QUOTES_SQL, quotes
 
@@ -789,3 +789,47 @@ def _(q):
 def _(q):
     p = q.select(*KEY, F.col("row_idx").alias("end_row"), "t_ms", F.when(F.col("event_id") % 97 != 0, F.col("pred_m")).alias("pred"))
     return catalog.check_bundle(p)
+
+
+# ---------------------------------------------------------------------------------------
+# Around a model
+
+
+@query("fixed_standardize", f" SELECT {IDS}, round((f2 - 150.5) / 120.25, 9) + 0.0 AS f2_std FROM q")
+def _(q):
+    return q.select(*ID, r(model_inputs.standardise(F.col("f2"), 150.5, 120.25)).alias("f2_std"))
+
+
+@query(
+    "time_encoding",
+    f""", el_ AS (SELECT *, (t_ms - min(t_ms) OVER (PARTITION BY {KEYS})) / 1000.0 AS s FROM q)
+    SELECT {IDS}, round(sin(CAST(s AS DOUBLE) * 0.01), 6) + 0.0 AS sin0, round(sin(CAST(s AS DOUBLE) * 0.01 * exp(-ln(10000.0) / 2)), 6) + 0.0 AS sin1, round(cos(CAST(s AS DOUBLE) * 0.01), 6) + 0.0 AS cos0,
+           round(cos(CAST(s AS DOUBLE) * 0.01 * exp(-ln(10000.0) / 2)), 6) + 0.0 AS cos1 FROM el_""",
+)
+def _(q):
+    first = F.min("t_ms").over(Window.partitionBy(*KEY))
+    a = q.withColumn("a", model_inputs.time_encoding((F.col("t_ms") - first) / 1000.0, 4, time_scale=0.01))
+    return a.select(*ID, *[r(F.col("a")[i], 6).alias(n) for i, n in enumerate(("sin0", "sin1", "cos0", "cos1"))])
+
+
+@query(
+    "warmup_cosine",
+    """, st_ AS (SELECT DISTINCT CAST(event_id % 120 AS BIGINT) AS step FROM q)
+    SELECT step, round(CASE WHEN step < 10 THEN 0.01 * step / 10.0 ELSE 0.001 + 0.009 * 0.5 * (1 + cos(pi() * least(greatest((step - 10) / 90.0, 0.0), 1.0))) END, 9) AS rate FROM st_""",
+)
+def _(q):
+    s = q.select((F.col("event_id") % 120).alias("step")).distinct()
+    return s.select("step", r(model_inputs.warmup_cosine(F.col("step"), 0.01, 100, 10, 0.1)).alias("rate"))
+
+
+AB_SQL = label_sql() + f""", ab AS (SELECT *, {SPLIT_SQL} = 'train' AS tr FROM lab WHERE r_raw IS NOT NULL),
+ fa AS (SELECT 'a' AS factor_set, regr_slope(r_raw, f0) AS s, regr_intercept(r_raw, f0) AS c FROM ab WHERE tr AND f0 IS NOT NULL),
+ fb AS (SELECT 'b' AS factor_set, regr_slope(r_raw, f2) AS s, regr_intercept(r_raw, f2) AS c FROM ab WHERE tr),
+ xs AS (SELECT factor_set, s * f0 + c AS x, r_raw AS y FROM ab, fa WHERE NOT tr AND f0 IS NOT NULL UNION ALL SELECT factor_set, s * f2 + c, r_raw FROM ab, fb WHERE NOT tr)"""
+
+
+@query("factor_set_comparison", AB_SQL + " SELECT factor_set, count(*) AS n, round(avg((x - y) * (x - y)) * 1e6, 4) AS mse_e6, round(avg(abs(x - y)), 7) AS mae, round(corr(x, y), 4) + 0.0 AS pearson FROM xs GROUP BY 1")
+def _(q):
+    lab = labelled(q).where("r_raw is not null")
+    m = compare.compare_sets(lab, {"a": ["f0"], "b": ["f2"]}, "r_raw", clock.split_of(F.col("date"), SPLITS) == "train")
+    return m.select("factor_set", "n", r(F.col("mse") * 1e6, 4).alias("mse_e6"), r("mae", 7).alias("mae"), r("pearson", 4).alias("pearson"))
