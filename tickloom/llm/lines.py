@@ -198,3 +198,31 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line, len(ls) AS n FROM d
+), w AS (
+  SELECT *, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto,
+         sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) - len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS before
+  FROM l
+), pairs AS (
+  SELECT a.doc_id, a.i, b.i AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.before >= {MIN_WORDS}
+), windows AS (
+  SELECT doc_id, i, min(j) AS j FROM pairs GROUP BY 1, 2 UNION SELECT doc_id, max(i), j FROM pairs GROUP BY doc_id, j
+), named AS (
+  SELECT doc_id, i, j, array_to_string(ls[i + 1 : j + 1], chr(10)) AS run FROM windows JOIN d USING (doc_id)
+), later AS (
+  SELECT doc_id, i, j FROM named QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later
+), isle AS (
+  SELECT doc_id, min(i) AS lo, max(i) AS hi, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) GROUP BY doc_id, g
+), text AS (
+  SELECT doc_id, sum(n) AS n_removed, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed FROM isle GROUP BY 1
+)
+SELECT doc_id, CAST(len(ls) AS INT) AS n_lines, CAST(coalesce(n_removed, 0) AS INT) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN text USING (doc_id)
+"""
