@@ -25,6 +25,8 @@ from .tokens import PieceTokenizer, default_paths, tokenizer
 
 LEAF = 48
 GROWN = 8
+#: An edited region of at most so many code points is counted in one call, past the cache of pieces.
+SMALL = 4_096
 SPACE = frozenset(" \t\n\x0b\x0c\r")
 
 
@@ -98,7 +100,10 @@ class CountTree:
                 new += self.leaves[b]
             else:
                 break
-        leaves, counts = cut(self.tok, new)
+        if len(new) <= SMALL and not self.tok.needs_whole(new):
+            leaves, counts = [new], [self.tok.count_plain(new)]
+        else:
+            leaves, counts = cut(self.tok, new)
         self.encoded += len(new)
         whole = len(leaves) == 1 and len(new) > 0 and self.tok.needs_whole(new)
         if whole and len(self.leaves) > 1:

@@ -181,6 +181,10 @@ class PieceTokenizer:
     def count(self, text: str) -> int:
         return len(self.inner.encode(text, add_special_tokens=False).ids)
 
+    def count_plain(self, text: str) -> int:
+        """The same for a text that needs no special care."""
+        return len(self.fast.encode_ordinary(text)) if self.fast else self.count(text)
+
     def _known(self, data, s, e) -> tuple[np.ndarray, np.ndarray]:
         """(slot, back): the slots of the different pieces, and each piece's index among them."""
         key, at, back = np.unique(Prefix(data).span(s, e), return_index=True, return_inverse=True)
