@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows are handed to NumPy in slices of about this many text bytes, so temporaries stay small.
 SLICE_BYTES = 1 << 20
@@ -67,6 +68,45 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A sieve has at most 2**SIEVE_SLOTS rows of 64 bits (some 25 MB as a broadcast), whatever it holds.
+SIEVE_SLOTS = 20
+
+
+def sieve(keys: DataFrame, column: str) -> DataFrame:
+    """(slot, bits): a bitmap of the hashes of a key column, of bounded size at any scale.
+
+    ``sieved`` then tells rows whose key is surely not among ``keys``; the others need a join.
+    """
+    n = keys.count()
+    slots = min(SIEVE_SLOTS, max(8, n.bit_length()))
+    h = F.xxhash64(F.lit(41), column)
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    out = keys.select(F.shiftrightunsigned(h, 64 - slots).cast("int").alias("__slot"), bits.alias("b")).groupBy("__slot").agg(F.bit_or("b").alias("__bits"))
+    out = staged(out, "sieve")
+    out._slots = slots
+    return out
+
+
+def sieved(df: DataFrame, column: str, held: DataFrame) -> DataFrame:
+    """``df`` with the boolean ``__may``: false where the column's value is surely not held."""
+    h = F.xxhash64(F.lit(41), column)
+    rows = df.join(F.broadcast(held), F.shiftrightunsigned(h, 64 - held._slots).cast("int") == F.col("__slot"), "left")
+    bit = F.call_function("shiftright", F.coalesce("__bits", F.lit(0).cast("long")), F.pmod(h, F.lit(64)).cast("int"))
+    return rows.withColumn("__may", bit.bitwiseAND(F.lit(1)) == 1).drop("__slot", "__bits")
+
+
+def hot_join(df: DataFrame, keyed: DataFrame, on: list[str], how_many: str, total: int, most: int = 1_000) -> DataFrame:
+    """``df`` inner-joined with ``keyed`` (one row a key, ``how_many`` rows of df have it).
+
+    Keys that more than total / most rows have are at most ``most``; these are broadcast, so that
+    their rows stay where they are. The others are joined by shuffle.
+    """
+    limit = max(total // most, 1)
+    hot = keyed.where(F.col(how_many) > limit)
+    rest = keyed.where(F.col(how_many) <= limit)
+    return df.join(F.broadcast(hot), on).unionByName(df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
+
+
 # ---------------------------------------------------------------------------------------
 # Arrow → NumPy
 

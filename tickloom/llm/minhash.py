@@ -8,57 +8,60 @@ is missed with probability below ``2 * (1 - s ** rows) ** bands``: under 2.2e-5
 most pairs also have other paths to each other, and under 1e-9 at s = 0.95.
 
 Only documents that share a half key with another on both sides get table keys at all, so most
-texts leave before the tables. Equal sets are one class before any of this. In each bucket all
-members are compared with one pivot, the member that shares most buckets with others, which is
-linear in the bucket; what lies in one component after that needs no further comparison. Texts
-joined by candidate pairs form clusters; where a cluster still holds several components, every
-text outside its main component is compared with all others of the cluster by counting common
-shingles over an inverted list, in blocks of bounded size, which needs no pair to be written.
-Clusters of more than CLUSTER such texts are compared bucket by bucket instead, where 512-bit
-sketches spare the pairs six standard deviations below the wanted similarity. Links are
-confirmed on the full sets.
+texts leave before the tables; a sieve of bounded size keeps the texts of the others from being
+shuffled. Equal sets are one class before any of this. In each bucket all members are compared
+with one pivot, the member that shares most buckets with others, which is linear in the bucket;
+what lies in one component after that needs no further comparison. Texts joined by candidate
+pairs form clusters; where a cluster still holds several components, every text outside its main
+component is compared with all others of the cluster by counting common shingles over an inverted
+list, in blocks of bounded size, which needs no pair to be written and is exact at any size.
+
+Words and sets are named by content: 128 bits of a keyed BLAKE2b in two halves (see words.py). Sets
+are equal when both halves of all shingles are, and a link needs the wanted similarity in both
+halves, so a pair is misjudged only if both collide within it: for two texts of n shingles with
+probability under n**4 / 2**128, about 3e-27 at n = 1,000. MinHashes use one half, as a collision
+there proposes a candidate at most. Links are confirmed on the full sets.
 
 Defined results: a text of fewer than k words is one shingle, of none (or null) has an empty set
-and is linked with nothing; a row with null doc_id shares its class's component but never names
-one; kept says that doc_id equals component_id (null equals null).
+and is linked with nothing; a row with null doc_id links like any other but never names a
+component (one of such rows only has component_id null); rows that repeat a doc_id are judged each
+by its own text; kept says that doc_id equals component_id (null equals null).
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import drop_staged, list_array, raw_bytes, slices, staged, table
+from .base import drop_staged, hot_join, list_array, raw_bytes, sieve, sieved, slices, staged, table
 from .graph import components
-from .words import Prefix, bounds, mix, shingles
+from .words import Names, content_name, distinct_rows, mix, shingles
 
 BANDS = 12
 ROWS = 3
 SEED = 7
-#: Texts outside the main component up to which a cluster is compared in blocks, and a block's bounds.
-CLUSTER = 16_384
+#: Bounds of a block of texts that one task compares with another.
 BLOCK_TEXTS = 1_024
 BLOCK_SHINGLES = 1 << 20
-#: Bits of the sketch that spares comparisons of candidates far below the wanted similarity.
-SKETCH = 512
-_SIG = "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"
+_SIG = "doc_id long, row_key binary, n_shingles long, digest binary, a array<long>, b array<long>"
+_SET = "id long, high array<long>, low array<long>"
 
 
-def row_sets(batch_text, k: int, most: int = 1 << 20):
-    """Yields (row, sorted distinct shingle hashes) over a column of texts."""
+def row_sets(batch_text, k: int, names: Names, most: int = 1 << 20):
+    """Yields (row, high, low): the halves of the distinct shingles of each of a column of texts, sorted."""
     data, offsets = raw_bytes(batch_text)
     for i, j in slices(offsets, most):
-        part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        start, end, first = bounds(part, off)
-        sh, at = shingles(Prefix(part, lower=True).span(start, end), first, k)
+        raw = data[offsets[i] : offsets[j]].tobytes().lower()
+        off = (offsets[i : j + 1] - offsets[i]).tolist()
+        high, low, first = names.of([raw[a:b].split() for a, b in zip(off, off[1:], strict=False)])
+        one, at = shingles(high, first, k)
+        two, _ = shingles(low, first, k)
+        one, two, at = distinct_rows(one, two, at)
         at = at.tolist()
         for r in range(j - i):
-            s = sh[at[r] : at[r + 1]]
-            yield i + r, np.unique(s) if len(s) > 1 else s
+            yield i + r, one[at[r] : at[r + 1]], two[at[r] : at[r + 1]]
 
 
 def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +83,17 @@ def _signatures(k: int, bands: int, rows: int, seed: int):
     salt = mix(np.arange(1, 2 * bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches):
+        names = Names()
         for batch in batches:
             n = batch.num_rows
             size, digest = np.zeros(n, np.int64), [b""] * n
             half = np.zeros((n, 2 * bands), np.uint64)
             known: dict[bytes, np.ndarray] = {}
-            for r, s in row_sets(batch.column("text"), k):
+            for r, s, low in row_sets(batch.column("text"), k, names):
                 size[r] = len(s)
                 if not len(s):
                     continue
-                digest[r] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                digest[r] = content_name(s.tobytes() + low.tobytes())
                 if digest[r] not in known:
                     m = minima(s, mul, add).reshape(2 * bands, rows)
                     h = salt.copy()
@@ -101,56 +105,52 @@ def _signatures(k: int, bands: int, rows: int, seed: int):
             per = np.where(full, bands, 0)
             both = half[full].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(digest, pa.binary()), list_array(both[:, :bands].ravel(), per, pa.int64()), list_array(both[:, bands:].ravel(), per, pa.int64())],
-                names=["doc_id", "n_shingles", "digest", "a", "b"],
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(size), pa.array(digest, pa.binary()), list_array(both[:, :bands].ravel(), per, pa.int64()), list_array(both[:, bands:].ravel(), per, pa.int64())],
+                names=["doc_id", "row_key", "n_shingles", "digest", "a", "b"],
             )
 
     return run
 
 
-def _sets(k: int, seed: int):
-    """Sets of candidate texts, with one bit of each of SKETCH further MinHashes."""
-    mul, add = _functions(SKETCH, seed + 1)
-
+def _sets(k: int):
     def run(batches):
+        names = Names()
         for batch in batches:
-            got, bits = [], []
-            for _, s in row_sets(batch.column("text"), k):
-                got.append(s)
-                bits.append(np.packbits((mix(minima(s, mul, add)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
-            n = len(got)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    list_array(np.concatenate(got).view(np.int64) if n else np.zeros(0, np.int64), np.array([len(s) for s in got], np.int64), pa.int64()),
-                    list_array(np.concatenate(bits) if n else np.zeros(0, np.int64), np.full(n, SKETCH // 64), pa.int64()),
-                ],
-                names=["id", "shingles", "sketch"],
-            )
+            got = [(high, low) for _, high, low in row_sets(batch.column("text"), k, names)]
+            n = np.array([len(high) for high, _ in got], np.int64)
+            half = [list_array(np.concatenate([g[c] for g in got]).view(np.int64) if got else np.zeros(0, np.int64), n, pa.int64()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *half], names=["id", "high", "low"])
 
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows (u, v) of ``pairs`` whose full sets have Jaccard similarity of at least percent/100."""
-    s = sets.select(F.col("id").alias("i1"), F.col("shingles").alias("s1"))
-    t = sets.select(F.col("id").alias("i2"), F.col("shingles").alias("s2"))
-    one, two = F.size("s1"), F.size("s2")
-    both = F.size(F.array_intersect("s1", "s2"))
+    s = sets.select(F.col("id").alias("i1"), F.col("high").alias("h1"), F.col("low").alias("l1"))
+    t = sets.select(F.col("id").alias("i2"), F.col("high").alias("h2"), F.col("low").alias("l2"))
+    one, two = F.size("h1"), F.size("h2")
     joined = pairs.join(s, F.col("u") == F.col("i1")).join(t, F.col("v") == F.col("i2"))
-    near = joined.where(F.least(one, two) * 100 >= F.greatest(one, two) * percent).withColumn("i", both)
-    return near.where(F.col("i") * 100 >= (one + two - F.col("i")) * percent).select("u", "v")
+    near = joined.where(F.least(one, two) * 100 >= F.greatest(one, two) * percent)
+    for a, b in (("h1", "h2"), ("l1", "l2")):
+        near = near.withColumn("i", F.size(F.array_intersect(a, b))).where(F.col("i") * 100 >= (one + two - F.col("i")) * percent)
+    return near.select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    two = docs.select(F.col("doc_id").cast("long"), "text")
+def row_key(doc_id="doc_id", text="text"):
+    """SHA-256 of a row's doc_id and text: equal rows share it, whatever other columns say."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))), 256))
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, row_key, n_shingles, component (a
+    number; null for a text without words) and component_id, its smallest doc_id."""
+    two = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row_key", row_key())
     sigs = staged(two.mapInArrow(_signatures(k, bands, rows, seed), _SIG), "minhash")
     full = sigs.where("n_shingles > 0")
-    classes = staged(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("a").alias("a"), F.any_value("b").alias("b")), "classes")
-    one = classes.where("id is not null")
+    classes = full.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"), F.any_value("a").alias("a"), F.any_value("b").alias("b"), F.count("*").alias("copies"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "first.doc_id", "first.row_key", "a", "b", "copies"), "classes")
 
-    half = one.select("id", F.explode("a").alias("h"), F.lit(0).alias("side")).unionByName(one.select("id", F.explode("b").alias("h"), F.lit(1).alias("side")))
+    half = classes.select("id", F.explode("a").alias("h"), F.lit(0).alias("side")).unionByName(classes.select("id", F.explode("b").alias("h"), F.lit(1).alias("side")))
     shared = half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("g"))
     alive = half.join(shared, F.col("h") == F.col("g"))
     sides = alive.groupBy("id").agg(F.collect_list(F.when(F.col("side") == 0, F.col("h"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("h"))).alias("b"))
@@ -161,31 +161,65 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     drop_staged(keys)
 
     degree = staged(keys2.groupBy("id").agg(F.sum("c").alias("degree")).withColumnRenamed("id", "i"), "degree")
-    texts = two.join(degree.select(F.col("i").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(_sets(k, seed), "id long, shingles array<long>, sketch array<long>").dropDuplicates(["id"]), "sets")
+    asked = staged(classes.join(degree, F.col("id") == F.col("i")).select("id", F.col("row_key").alias("asked")), "asked")
+    texts = sieved(two.select("row_key", "text"), "row_key", sieve(asked, "asked")).where("__may").select("row_key", "text")
+    texts = texts.dropDuplicates(["row_key"]).join(asked.hint("shuffle_hash"), F.col("row_key") == F.col("asked")).select("id", "text")
+    sets = staged(texts.mapInArrow(_sets(k), _SET), "sets")
+    drop_staged(asked)
 
     ranked = keys2.join(degree, F.col("id") == F.col("i"))
     pivot = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("p")).select(F.col("key").alias("q"), (-F.col("p.neg")).alias("pivot"))
-    hits = staged(keys2.join(pivot, F.col("key") == F.col("q")).select("key", "id", "pivot"), "hits")
-    pairs = staged(hits.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
+    pairs = keys2.join(pivot, F.col("key") == F.col("q")).where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+    pairs = staged(pairs.distinct(), "pairs")
     links = staged(verified(pairs, sets, percent), "links")
     labels = staged(components(links), "labels")
-    more = staged(_cross_links(hits, pairs, labels, sets, percent), "links")
+    more = staged(_cross_links(pairs, labels, sets, percent), "links")
     final = staged(components(links.unionByName(more)), "labels")
-    drop_staged(keys2, hits, pairs, sets, degree, labels, links, more)
+    drop_staged(keys2, pairs, sets, degree, labels, links, more)
 
-    byclass = classes.join(final.withColumnRenamed("id", "n"), F.col("id") == F.col("n"), "left")
-    byclass = byclass.select(F.col("digest").alias("dg"), F.coalesce("component", "id").alias("component"))
-    out = sigs.join(byclass, (F.col("digest") == F.col("dg")) & (F.col("n_shingles") > 0), "left")
-    comp = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    linked = staged(final.join(classes.select(F.col("id").alias("i"), F.col("doc_id").alias("first_id")), F.col("id") == F.col("i")).select("id", "component", "first_id"), "linked")
+    named = staged(linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "named")
+    of = hot_join(linked, named, ["component"], "n", linked.count()).select(F.col("id").alias("i"), "component", "component_id")
+    byclass = classes.join(of, F.col("id") == F.col("i"), "left")
+    byclass = byclass.select("digest", "copies", F.coalesce("component", "id").alias("component"), F.when(F.col("i").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    byclass = staged(byclass, "byclass")
+    drop_staged(final, linked, named, classes)
+    out = hot_join(full.select("doc_id", "row_key", "n_shingles", "digest"), byclass, ["digest"], "copies", full.count()).select("doc_id", "row_key", "n_shingles", "component", "component_id")
+    alone = sigs.where("n_shingles = 0").select("doc_id", "row_key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
 
 
-def _cross_links(hits: DataFrame, pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    out = near_groups(docs, k, percent, bands, rows, seed)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one of each group of near-duplicates: the smallest doc_id (null last),
+    then the smallest row key. Rows without words are no one's copy and stay.
+
+    Only rows of groups of two or more meet the join; a sieve lets the others pass where they are.
+    """
+    rows = staged(near_groups(docs, k, percent).where("component is not null").select("component", "doc_id", "row_key"), "groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
+    many = staged(rows.groupBy("component").agg(best, F.count("*").alias("n")).where("n > 1").select("component", "n", F.col("best.row_key").alias("best")), "groups")
+    fate = hot_join(rows, many, ["component"], "n", rows.count()).select(F.col("row_key").alias("__near_row"), (F.col("row_key") == F.col("best")).alias("__near_keep")).distinct()
+    fate = staged(fate, "fate")
+    drop_staged(rows, many)
+    seen = sieved(docs.withColumn("__near_key", row_key()), "__near_key", sieve(fate, "__near_row"))
+    pass_ = seen.where(~F.col("__may")).select(*docs.columns)
+    met = seen.where("__may").join(fate.hint("shuffle_hash"), F.col("__near_key") == F.col("__near_row"), "left")
+    other = met.where("__near_row is null").select(*docs.columns)
+    first = met.where("__near_keep").dropDuplicates(["__near_key"]).select(*docs.columns)
+    return pass_.unionByName(other).unionByName(first)
+
+
+def _cross_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) that join the components of each cluster which belong together."""
     clusters = components(pairs).withColumnRenamed("component", "cluster")
     lab = labels.withColumnRenamed("id", "n")
-    size = sets.select(F.col("id").alias("s"), F.size("shingles").cast("long").alias("weight"))
+    size = sets.select(F.col("id").alias("s"), F.size("high").cast("long").alias("weight"))
     of = clusters.join(lab, F.col("id") == F.col("n"), "left").join(size, F.col("id") == F.col("s"))
     of = staged(of.select("id", "cluster", F.coalesce("component", "id").alias("comp"), "weight"), "clusters")
     drop_staged(clusters)
@@ -195,26 +229,18 @@ def _cross_links(hits: DataFrame, pairs: DataFrame, labels: DataFrame, sets: Dat
     whole = whole.select(
         F.col("cluster").alias("c"),
         F.col("main.comp").alias("main"),
-        (F.col("n") - F.col("main.n")).alias("minors"),
         blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("b"),
         blocks(F.col("main.n"), F.col("main.w")).alias("m"),
     )
     whole = staged(whole, "clusters")
 
-    rows = of.join(whole.where(F.col("minors") <= CLUSTER), F.col("cluster") == F.col("c")).withColumn("h", F.xxhash64("id"))
+    rows = of.join(whole, F.col("cluster") == F.col("c")).withColumn("h", F.xxhash64("id"))
     block = F.when(F.col("comp") != F.col("main"), F.pmod("h", "b")).otherwise(F.col("b") + F.pmod("h", "m")).cast("int")
     rows = rows.withColumn("block", block)
     others = F.when(F.col("block") < F.col("b"), F.col("b") + F.col("m")).otherwise(F.col("b"))
     unit = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    full = unit.select("cluster", "i", "j", "block", "id", "comp").join(sets.select(F.col("id").alias("s"), "shingles"), F.col("id") == F.col("s")).drop("s")
-    links = full.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
-
-    big = whole.where(F.col("minors") > CLUSTER).select("c")
-    if not big.isEmpty():
-        inside = of.join(big, F.col("cluster") == F.col("c")).select(F.col("id").alias("x"))
-        there = hits.join(inside, F.col("id") == F.col("x"), "left_semi")
-        links = links.unionByName(verified(_open_pairs(there, pairs, labels, sets, percent), sets, percent))
-    return links
+    full = unit.select("cluster", "i", "j", "block", "id", "comp").join(sets.select(F.col("id").alias("s"), "high", "low"), F.col("id") == F.col("s")).drop("s")
+    return full.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
 
 
 def _block_links(percent: int):
@@ -224,13 +250,13 @@ def _block_links(percent: int):
         t = t.combine_chunks()
         block, ids, comp = (t.column(c).to_numpy() for c in ("block", "id", "comp"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        lists = t.column("shingles").combine_chunks()
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        lists = t.column("high").combine_chunks()
+        flat, low = lists.flatten().to_numpy(zero_copy_only=False), t.column("low").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         at = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
         n = np.diff(at)
         doc = np.repeat(np.arange(len(ids)), n)
-        order = np.argsort(flat, kind="stable")
-        new = np.append(True, flat[order][1:] != flat[order][:-1])
+        order = np.lexsort((low, flat))
+        new = np.append(True, (flat[order][1:] != flat[order][:-1]) | (low[order][1:] != low[order][:-1]))
         begin = np.flatnonzero(new)
         many = np.diff(np.append(begin, len(flat)))
         name = np.empty(len(flat), np.int64)
@@ -266,34 +292,6 @@ def _block_links(percent: int):
     return run
 
 
-def _open_pairs(hits: DataFrame, pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and have not been compared.
-
-    In each bucket only members outside the pivot's component are matched with the others, so a
-    large group that has come together costs nothing here. Sketches drop pairs six standard
-    deviations below the wanted similarity inside the join.
-    """
-    name = labels.withColumnRenamed("id", "n")
-    of = hits.join(name, F.col("id") == F.col("n"), "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("comp"))
-    other = labels.select(F.col("id").alias("n"), F.col("component").alias("pc"))
-    of = of.join(other, F.col("pivot") == F.col("n"), "left").select("key", "id", "comp", (F.col("comp") != F.coalesce("pc", "pivot")).alias("minor"))
-    of = staged(of, "members")
-    mixed = of.where("minor").select(F.col("key").alias("q")).distinct()
-    sk = sets.select(F.col("id").alias("n"), "sketch", F.size("shingles").alias("size"))
-    rows = staged(of.join(mixed, F.col("key") == F.col("q"), "left_semi").join(sk, F.col("id") == F.col("n")).select("key", "id", "comp", "minor", "size", "sketch"), "mixed")
-    drop_staged(of)
-    left = rows.where("minor").select(F.col("key").alias("k1"), F.col("id").alias("u"), F.col("comp").alias("c1"), F.col("size").alias("n1"), F.col("sketch").alias("x"))
-    right = rows.select(F.col("key").alias("k2"), F.col("id").alias("v"), F.col("comp").alias("c2"), "minor", F.col("size").alias("n2"), F.col("sketch").alias("y"))
-    p = (1 + percent / 100) / 2
-    least = SKETCH * p - 6 * (SKETCH * p * (1 - p)) ** 0.5
-    differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    sizes = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    once = ~F.col("minor") | (F.col("u") < F.col("v"))
-    near = left.join(right, (F.col("k1") == F.col("k2")) & (F.col("c1") != F.col("c2")) & once & sizes & (differ <= SKETCH - least))
-    done = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return near.select("u", "v").distinct().join(done, ["u", "v"], "left_anti")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, percent=85)
 
