@@ -13,8 +13,9 @@ shuffled. Equal sets are one class before any of this. In each bucket all member
 with one pivot, the member that shares most buckets with others, which is linear in the bucket;
 what lies in one component after that needs no further comparison. Texts joined by candidate
 pairs form clusters; where a cluster still holds several components, every text outside its main
-component is compared with all others of the cluster by counting common shingles over an inverted
-list, in blocks of bounded size, which needs no pair to be written and is exact at any size.
+component is compared with all others of the cluster whose size allows a link, by counting common
+shingles over an inverted list, in blocks of bounded size; no pair is written, and it is exact at
+any size.
 
 Words and sets are named by content: 128 bits of a keyed BLAKE2b in two halves (see words.py). Sets
 are equal when both halves of all shingles are, and a link needs the wanted similarity in both
@@ -30,6 +31,8 @@ by its own text; kept says that doc_id equals component_id (null equals null).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .base import drop_staged, hot_join, list_array, raw_bytes, sieve, sieved, slices, staged, table
 from .graph import components
-from .words import Names, content_name, distinct_rows, mix, shingles
+from .words import Names, content_name, distinct, mix, shingles
 
 BANDS = 12
 ROWS = 3
@@ -58,10 +61,9 @@ def row_sets(batch_text, k: int, names: Names, most: int = 1 << 20):
         high, low, first = names.of([raw[a:b].split() for a, b in zip(off, off[1:], strict=False)])
         one, at = shingles(high, first, k)
         two, _ = shingles(low, first, k)
-        one, two, at = distinct_rows(one, two, at)
         at = at.tolist()
         for r in range(j - i):
-            yield i + r, one[at[r] : at[r + 1]], two[at[r] : at[r + 1]]
+            yield i + r, *distinct(one[at[r] : at[r + 1]], two[at[r] : at[r + 1]])
 
 
 def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +127,18 @@ def _sets(k: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (u, v) of ``pairs`` whose full sets have Jaccard similarity of at least percent/100."""
+    """The rows (u, v) of ``pairs`` whose full sets have Jaccard similarity of at least percent/100.
+
+    Pairs whose sizes rule that out leave before any set is moved.
+    """
+    size = sets.select("id", F.size("high").alias("n"))
+    sized = pairs.join(size.select(F.col("id").alias("i1"), F.col("n").alias("n1")), F.col("u") == F.col("i1")).join(size.select(F.col("id").alias("i2"), F.col("n").alias("n2")), F.col("v") == F.col("i2"))
+    pairs = sized.where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent).select("u", "v")
     s = sets.select(F.col("id").alias("i1"), F.col("high").alias("h1"), F.col("low").alias("l1"))
     t = sets.select(F.col("id").alias("i2"), F.col("high").alias("h2"), F.col("low").alias("l2"))
     one, two = F.size("h1"), F.size("h2")
     joined = pairs.join(s, F.col("u") == F.col("i1")).join(t, F.col("v") == F.col("i2"))
-    near = joined.where(F.least(one, two) * 100 >= F.greatest(one, two) * percent)
+    near = joined
     for a, b in (("h1", "h2"), ("l1", "l2")):
         near = near.withColumn("i", F.size(F.array_intersect(a, b))).where(F.col("i") * 100 >= (one + two - F.col("i")) * percent)
     return near.select("u", "v")
@@ -221,26 +229,30 @@ def _cross_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     lab = labels.withColumnRenamed("id", "n")
     size = sets.select(F.col("id").alias("s"), F.size("high").cast("long").alias("weight"))
     of = clusters.join(lab, F.col("id") == F.col("n"), "left").join(size, F.col("id") == F.col("s"))
-    of = staged(of.select("id", "cluster", F.coalesce("component", "id").alias("comp"), "weight"), "clusters")
+    # sizes of linked texts are in one band or in bands side by side, so that they meet in the higher band's group
+    band = F.floor(F.ln("weight") / F.lit(math.log(100 / percent) * (1 + 1e-6)))
+    of = of.select("id", "cluster", F.explode(F.array(band, band + 1)).alias("band"), F.coalesce("component", "id").alias("comp"), "weight")
+    of = staged(of, "clusters")
     drop_staged(clusters)
-    parts = of.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    whole = parts.groupBy("cluster").agg(F.max(F.struct("n", "comp", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
+    parts = of.groupBy("cluster", "band", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    whole = parts.groupBy("cluster", "band").agg(F.max(F.struct("n", "comp", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
     whole = whole.select(
-        F.col("cluster").alias("c"),
+        "cluster",
+        "band",
         F.col("main.comp").alias("main"),
         blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("b"),
         blocks(F.col("main.n"), F.col("main.w")).alias("m"),
     )
     whole = staged(whole, "clusters")
 
-    rows = of.join(whole, F.col("cluster") == F.col("c")).withColumn("h", F.xxhash64("id"))
+    rows = of.join(whole, ["cluster", "band"]).withColumn("h", F.xxhash64("id"))
     block = F.when(F.col("comp") != F.col("main"), F.pmod("h", "b")).otherwise(F.col("b") + F.pmod("h", "m")).cast("int")
     rows = rows.withColumn("block", block)
     others = F.when(F.col("block") < F.col("b"), F.col("b") + F.col("m")).otherwise(F.col("b"))
     unit = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    full = unit.select("cluster", "i", "j", "block", "id", "comp").join(sets.select(F.col("id").alias("s"), "high", "low"), F.col("id") == F.col("s")).drop("s")
-    return full.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
+    full = unit.select("cluster", "band", "i", "j", "block", "id", "comp").join(sets.select(F.col("id").alias("s"), "high", "low"), F.col("id") == F.col("s")).drop("s")
+    return full.groupBy("cluster", "band", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
 
 
 def _block_links(percent: int):

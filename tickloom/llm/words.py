@@ -121,22 +121,21 @@ class Names(dict):
         return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), first
 
 
-def distinct_rows(high: np.ndarray, low: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(high, low, first) of each row's different names, sorted by (high, low)."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((high, row))
-    h, r = high[order], row[order]
-    same = np.zeros(len(h), bool)
-    same[1:] = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
-    l = low[order]  # noqa: E741
-    if (same[1:] & (l[1:] != l[:-1])).any():  # one half collides: sort by both
-        order = np.lexsort((low, high, row))
-        h, l, r = high[order], low[order], row[order]  # noqa: E741
-        same[1:] = (h[1:] == h[:-1]) & (l[1:] == l[:-1]) & (r[1:] == r[:-1])
-    keep = ~same
-    at = np.zeros(len(first), np.int64)
-    np.cumsum(np.bincount(r[keep], minlength=len(first) - 1), out=at[1:])
-    return h[keep], l[keep], at
+def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different names of a row, sorted by (high, low)."""
+    if len(high) < 2:
+        return high, low
+    order = high.argsort(kind="stable")
+    h, l = high[order], low[order]  # noqa: E741
+    same = h[1:] == h[:-1]
+    if not same.any():
+        return h, l
+    if (l[1:] != l[:-1])[same].any():  # one half collides: sort by both
+        order = np.lexsort((low, high))
+        h, l = high[order], low[order]  # noqa: E741
+        same = (h[1:] == h[:-1]) & (l[1:] == l[:-1])
+    keep = np.append(True, ~same)
+    return h[keep], l[keep]
 
 
 _C = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA5A3564E27F8868B, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
