@@ -24,6 +24,26 @@ def test_ids_equal_the_library_s():
             assert tok.inner.encode(t or "", add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist(), repr(t)
 
 
+def test_words_that_share_a_polynomial_hash_have_their_own_ids():
+    morse = lambda a, b: "".join((a, b)[i.bit_count() % 2] for i in range(1024))
+    texts = [f"{morse('x', 'y')} {morse('y', 'x')}", morse("y", "x"), morse("x", "y")]
+    for paths in (default_paths(), default_paths()[:1]):
+        tok = PieceTokenizer(*paths)
+        ids, at = tok.encode(*raw_bytes(pa.array(texts)))
+        for i, t in enumerate(texts):
+            assert tok.inner.encode(t, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist()
+
+
+def test_a_full_cache_starts_anew(monkeypatch):
+    from tickloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+    tok = PieceTokenizer(*default_paths())
+    for n in range(5):
+        ids, _ = tok.encode(*raw_bytes(pa.array([f"alpha beta{n} gamma delta{n} epsilon"])))
+        assert ids.tolist() == tok.inner.encode(f"alpha beta{n} gamma delta{n} epsilon").ids
+
+
 def test_shortest_pack_first_places_all_within_the_limit():
     rnd = random.Random(2)
     hist = {n: rnd.randrange(1, 50) for n in rnd.sample(range(1, 1025), 300)}

@@ -39,6 +39,27 @@ def test_only_touched_regions_are_encoded():
     assert tree.encoded < len(text) / 20 and tree.tokens == tok.count(tree.text())
 
 
+def test_other_spaces_leave_the_tree_in_place():
+    tok = PieceTokenizer(*default_paths())
+    rnd = random.Random(8)
+    words = [f"word{i}" + rnd.choice([" ", " ", "\n", "\u00a0", "\u00a0 ", " \u2003", "\x1c ", "<|endoftext|> "]) for i in range(8_000)]
+    text = "".join(words)
+    tree = tokencount.CountTree(tok, text)
+    assert len(tree.leaves) > 100 and tree.text() == text and tree.tokens == tok.count(text)
+    for _ in range(40):
+        pos, delete, insert = rnd.randrange(len(text)), rnd.choice([0, 2, 30]), rnd.choice(["", " ", "\u00a0", "x", "<|endoftext|>", "\u2003y "])
+        tree.edit(pos, delete, insert)
+        text = apply(text, pos, delete, insert)
+        assert tree.text() == text and tree.tokens == tok.count(text), (pos, delete, insert)
+    assert tree.encoded < len(text)
+
+
+def test_a_column_of_that_name_is_replaced(spark):
+    docs = awkward(spark).where("doc_id < 3").selectExpr("*", "'x' AS edits", "2 AS e_")
+    edits = spark.createDataFrame([(1, 1, 0, 1, "a")], "doc_id long, seq int, pos long, del long, ins string")
+    assert {r.doc_id: r.n_edits for r in tokencount.count_edits(tokencount.with_edits(docs, edits)).collect()} == {0: 0, 1: 1, 2: 0}
+
+
 def test_operator(spark):
     tok = PieceTokenizer(*default_paths())
     docs = tokencount.seeded_edits(awkward(spark))

@@ -1,20 +1,24 @@
 """Token counts that follow edits: a segment tree over the pre-tokens of each document.
 
-A document's text is cut into leaves of some LEAF pre-tokens, always after a word and before
-white space, where a byte-level BPE never joins anything; a binary tree keeps sums of code points
+A document's text is cut into leaves of some LEAF pre-tokens, always after a character that is no
+white space (of any kind) and before one of ``[\\x20\\x09-\\x0D]``, where a byte-level BPE never joins
+anything; a binary tree keeps sums of code points
 and of tokens. An edit finds its leaves by the code-point sums, changes their text, and encodes
 only those leaves anew, with a neighbour for context where the change leaves no such cut at a
 border (a word joined to the one before it, or white space left at the end). Sums are updated on
-the path to the root. Leaves that grow past GROWN times their size rebuild the tree.
+the path to the root. Leaves that grow past GROWN times their size rebuild the tree. Texts with other Unicode spaces or a
+special token's string have the same leaves; only a leaf that holds one goes to the library whole.
 
 Defined results: null text is empty; an edit's position counts code points of the text as left by
 the edits before it, and positions or lengths beyond the end stop there; null edits or inserts
-change nothing; rows with null or repeated doc_id are counted like any other. Texts with a special
-token's string or other Unicode spaces keep a single leaf.
+change nothing; rows with null or repeated doc_id are counted like any other; a column ``edits``
+that a table already has is replaced.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +32,8 @@ GROWN = 8
 #: An edited region of at most so many code points is counted in one call, past the cache of pieces.
 SMALL = 4_096
 SPACE = frozenset(" \t\n\x0b\x0c\r")
+#: \s here is wider than the tokenizer's (it has the separators \x1c-\x1f too), so a border is one for both.
+_BORDER = re.compile(r"\S(?=[\x20\x09-\x0D])")
 
 
 class CountTree:
@@ -92,10 +98,10 @@ class CountTree:
         old = "".join(self.leaves[a : b + 1])
         new = old[:off] + insert + old[off + delete :]
         while True:  # a border needs white space after it and a word before it
-            if a > 0 and (not new or new[0] not in SPACE):
+            if a > 0 and (not new or new[0] not in SPACE or (self.leaves[a - 1][-1:] or " ").isspace()):
                 a -= 1
                 new = self.leaves[a] + new
-            elif b + 1 < len(self.leaves) and (not new or new[-1] in SPACE):
+            elif b + 1 < len(self.leaves) and (not new or new[-1].isspace() or (self.leaves[b + 1][:1] or "x") not in SPACE):
                 b += 1
                 new += self.leaves[b]
             else:
@@ -105,12 +111,7 @@ class CountTree:
         else:
             leaves, counts = cut(self.tok, new)
         self.encoded += len(new)
-        whole = len(leaves) == 1 and len(new) > 0 and self.tok.needs_whole(new)
-        if whole and len(self.leaves) > 1:
-            new = self.text_with(a, b, new)
-            self.encoded += len(new)
-            self._make([new], [self.tok.count(new)])
-        elif len(leaves) > GROWN * (b - a + 1):
+        if len(leaves) > GROWN * (b - a + 1):
             every = [(t, self.count[self.n + i]) for i, t in enumerate(self.leaves)]
             every[a : b + 1] = list(zip(leaves, counts, strict=True))
             self._make([t for t, _ in every], [c for _, c in every])
@@ -119,18 +120,22 @@ class CountTree:
             for i in range(a + 1, b + 1):
                 self._set(i, "", 0)
 
-    def text_with(self, a: int, b: int, new: str) -> str:
-        return "".join(self.leaves[:a]) + new + "".join(self.leaves[b + 1 :])
-
 
 def cut(tok: PieceTokenizer, text: str) -> tuple[list[str], list[int]]:
     """Leaves of a text and their token counts."""
     if tok.needs_whole(text):
-        return [text], [tok.count(text)]
+        leaves = _cut_odd(text)
+        return leaves, [tok.count(t) if tok.needs_whole(t) else tok.count_plain(t) for t in leaves]
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     return _cut_bytes(tok, raw, np.array([0, len(raw)]))[0]
 
 
+def _cut_odd(text: str) -> list[str]:
+    """Leaves of a text with other spaces; no special token's string holds a space, so none is cut."""
+    at = [m.end() for m in _BORDER.finditer(text)][LEAF // 2 - 1 :: LEAF // 2]
+    return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]
+
+
 def _cut_bytes(tok: PieceTokenizer, data: np.ndarray, offsets: np.ndarray) -> list[tuple[list[str], list[int]]]:
     """The same for many texts at once; the caller has sorted out those that need the library whole."""
     s, e, first = tok.pieces(data, offsets)
@@ -190,8 +195,8 @@ def count_edits(docs: DataFrame, paths: tuple | None = None) -> DataFrame:
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """``docs`` with the edits (doc_id, seq, pos, del, ins) of each document in order of seq."""
-    own = edits.groupBy(F.col("doc_id").alias("e_")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "pos", "del", "ins"))), lambda x: F.struct(x["pos"], x["del"], x["ins"])).alias("edits"))
-    return docs.join(own, docs["doc_id"] == F.col("e_"), "left").drop("e_")
+    own = edits.groupBy(F.col("doc_id").alias("__edit_doc")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "pos", "del", "ins"))), lambda x: F.struct(x["pos"], x["del"], x["ins"])).alias("edits"))
+    return docs.drop("edits").join(own, F.col("doc_id") == F.col("__edit_doc"), "left").drop("__edit_doc")
 
 
 def seeded_edits(docs: DataFrame, n: int = 4, seed: int = 31) -> DataFrame:

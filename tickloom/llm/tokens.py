@@ -3,9 +3,9 @@
 A byte-level BPE pre-tokenizer never looks across the border between a run of white space and
 the word after it, except that one plain space joins the word. So a text falls into pieces
 (words with that space, and what is left of each run) whose ids do not depend on their
-surroundings; pieces are named by hash and each different piece is encoded once by the
-``tokenizers`` library. Texts with other Unicode spaces or with a special token's string, where
-that border is less simple, go to the library whole.
+surroundings; each different piece is encoded once by the ``tokenizers`` library and then found
+by its bytes. Texts with other Unicode spaces or with a special token's string, where that border
+is less simple, go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import re
 
 import numpy as np
 
-from .words import Prefix, bounds
+from .words import bounds
 
 #: Pieces remembered by a worker process; beyond that its cache starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 500_000
 
 _ODD = re.compile(rb"[\x1c-\x1f\xc2\xe1-\xe3]")
 _ODD_LEAD = np.zeros(256, bool)
@@ -39,6 +39,15 @@ def _has_odd_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     )
 
 
+def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``x`` with room for ``more`` entries behind the first ``used``; grows by doubling."""
+    if used + more <= len(x):
+        return x
+    out = np.zeros(max(2 * len(x), used + more), x.dtype)
+    out[:used] = x[:used]
+    return out
+
+
 class PieceTokenizer:
     """Ids of texts by a tokenizers JSON file of the byte-level BPE kind.
 
@@ -64,10 +73,11 @@ class PieceTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.key = np.empty(0, np.uint64)
-        self.slot = np.empty(0, np.int64)
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.slot: dict[bytes, int] = {}
+        self.n = np.zeros(1024, np.int64)
+        self.at = np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, np.uint32)
+        self.used = 0
 
     def _slow(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.inner.encode_batch(texts, add_special_tokens=False)]
@@ -103,14 +113,17 @@ class PieceTokenizer:
             counts[i] = len(ids)
         return np.concatenate(parts), counts
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+    def _learn(self, texts: list[bytes]) -> None:
         ids, counts = self._ids(texts)
-        slot = np.arange(len(self.at) - 1, len(self.at) - 1 + len(keys))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
-        self.ids = np.concatenate([self.ids, ids])
-        where = np.searchsorted(self.key, keys)
-        self.key = np.insert(self.key, where, keys)
-        self.slot = np.insert(self.slot, where, slot)
+        have, more = len(self.slot), len(texts)
+        self.slot.update(zip(texts, range(have, have + more), strict=True))
+        self.n = _room(self.n, have, more)
+        self.at = _room(self.at, have, more)
+        self.ids = _room(self.ids, self.used, len(ids))
+        self.n[have : have + more] = counts
+        self.at[have : have + more] = self.used + np.cumsum(counts) - counts
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, first): byte bounds of all pieces in order, and each row's first piece."""
@@ -148,15 +161,12 @@ class PieceTokenizer:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of all rows, and by row the index of its first id."""
         whole = self._whole_rows(data, offsets)
-        if len(self.key) > CACHE_PIECES:
-            self._clear()
         s, e, first = self.pieces(data, offsets)
-        key, back = self._known(data, s, e)
-        n = self.at[key + 1] - self.at[key]
-        n = n[back]
+        slot = self._known(data, s, e)
+        n = self.n[slot]
         upto = np.zeros(len(s) + 1, np.int64)
         np.cumsum(n, out=upto[1:])
-        flat = np.repeat(self.at[key][back] - upto[:-1], n) + np.arange(upto[-1])
+        flat = np.repeat(self.at[slot] - upto[:-1], n) + np.arange(upto[-1])
         ids, at = self.ids[flat], upto[first]
         if len(whole):
             parts = [ids[at[i] : at[i + 1]] for i in range(len(at) - 1)]
@@ -170,8 +180,7 @@ class PieceTokenizer:
 
     def counts(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """How many ids each of the byte ranges (pieces) has."""
-        key, back = self._known(data, s, e)
-        return (self.at[key + 1] - self.at[key])[back]
+        return self.n[self._known(data, s, e)]
 
     def needs_whole(self, text: str) -> bool:
         """Must this text go to the library as one?"""
@@ -185,19 +194,15 @@ class PieceTokenizer:
         """The same for a text that needs no special care."""
         return len(self.fast.encode_ordinary(text)) if self.fast else self.count(text)
 
-    def _known(self, data, s, e) -> tuple[np.ndarray, np.ndarray]:
-        """(slot, back): the slots of the different pieces, and each piece's index among them."""
-        key, at, back = np.unique(Prefix(data).span(s, e), return_index=True, return_inverse=True)
-        where = np.searchsorted(self.key, key)
-        old = np.zeros(len(key), bool)
-        inside = where < len(self.key)
-        old[inside] = self.key[where[inside]] == key[inside]
-        if not old.all():
-            new = at[~old]
-            raw = data.tobytes()
-            self._learn(key[~old], [raw[i:j] for i, j in zip(s[new].tolist(), e[new].tolist(), strict=True)])
-            where = np.searchsorted(self.key, key)
-        return self.slot[where], back
+    def _known(self, data, s, e) -> np.ndarray:
+        """The slot of each piece; pieces are looked up by their bytes."""
+        if len(self.slot) > CACHE_PIECES:
+            self._clear()
+        raw = data.tobytes()
+        pieces = [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+        if new := set(pieces).difference(self.slot):
+            self._learn(sorted(new))
+        return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
 
     def _whole_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         odd = np.flatnonzero(_ODD_LEAD[data])
