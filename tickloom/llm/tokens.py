@@ -180,7 +180,8 @@ class PieceTokenizer:
 
     def counts(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """How many ids each of the byte ranges (pieces) has."""
-        return self.n[self._known(data, s, e)]
+        slot = self._known(data, s, e)  # may replace the arrays
+        return self.n[slot]
 
     def needs_whole(self, text: str) -> bool:
         """Must this text go to the library as one?"""
