@@ -52,3 +52,31 @@ def test_targets_and_taken(spark, build):
 def test_zero_words_take_nothing(spark):
     docs = spark.createDataFrame([(1, " ", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert {(r.target, r.taken) for r in mixing.mix_sources(docs).collect()} == {(0.0, 0)}
+
+
+def test_repeated_rows_at_the_cut(spark):
+    """A third of the rows repeat one (doc_id, size); some of them fit, and not more."""
+    rows = [(i, "a b c", "a") for i in range(40)] + [(7, "a b c", "a")] * 60 + [(None, "x y", "a")] * 50 + [(i, "w " * 40, "b") for i in range(60)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    assert len(got) == len(rows)
+    targets = brute_targets({"a": 400, "b": 2400})
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - targets[s]) <= max(r["size"] for r in mine) / 2 + 1e-6
+        assert all(0 <= r.times <= 3 for r in mine)
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 300}") for i in range(900)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    targets = brute_targets(sizes)
+    assert all(math.isclose(r.target, targets[r.source], rel_tol=1e-9) for r in got)
+
+
+def test_columns_can_be_carried(spark):
+    docs = awkward(spark)
+    got = mixing.mix_sources(docs, carry=["text", "lang"]).select("doc_id", "__carry_text", "__carry_lang").collect()
+    assert sorted(map(str, ((r[0], r[1], r[2]) for r in got))) == sorted(map(str, ((r.doc_id, r.text, r.lang) for r in docs.collect())))

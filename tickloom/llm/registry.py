@@ -20,4 +20,5 @@ ORACLES = {
     "op1_line_dedup": lines.ORACLE,
     "op2_minhash_neardup": minhash.ORACLE,
     "op3_exact_dedup": exact.ORACLE,
+    "op8_source_mixing": mixing.ORACLE,
 }
