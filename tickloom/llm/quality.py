@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .base import drop_staged, raw_bytes, slices, staged, table
 from .words import Prefix, mix
@@ -135,7 +136,7 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
-def _score(model, seed: int):
+def _score(model, seed: int, carried: list[str]):
     def run(batches):
         weight = model.value
         for batch in batches:
@@ -148,7 +149,7 @@ def _score(model, seed: int):
             out = np.round(out, 6)
             ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             noisy = out + _noise(ids, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array(noisy), pa.array(_ordered(noisy)), batch.column("good")], names=["doc_id", "log_weight", "noisy", "place", "good"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array(noisy), pa.array(_ordered(noisy)), batch.column("good"), *(batch.column(c) for c in carried)], names=["doc_id", "log_weight", "noisy", "place", "good", *carried])
 
     return run
 
@@ -169,8 +170,11 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return known - (1 << 63)
 
 
-def resample(docs: DataFrame, labels: DataFrame, miss: float = MISS, seed: int = SEED, max_labels: int = MAX_LABELS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, log_weight, noisy, kept."""
+def resample(docs: DataFrame, labels: DataFrame, miss: float = MISS, seed: int = SEED, max_labels: int = MAX_LABELS, carry: list[str] | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, log_weight, noisy, kept.
+
+    ``carry`` names columns of ``docs`` that come along as ``__carry_<name>``, so that a caller needs no join.
+    """
     spark = docs.sparkSession
     by = F.xxhash64(F.lit(seed), "doc_id")
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
@@ -179,21 +183,24 @@ def resample(docs: DataFrame, labels: DataFrame, miss: float = MISS, seed: int =
     # 1: good, fits the model; 2: good, sets the level; 0: not good
     lab = lab.select(F.col("doc_id").alias("l"), F.when(good, F.when(F.pmod("h", F.lit(HELD_OUT)) == 0, 2).otherwise(1)).otherwise(0).alias("good"))
     lab = staged(lab, "labels")
-    two = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(lab), F.col("doc_id") == F.col("l"), "left").select("doc_id", "text", "good")
+    extra = [f"__carry_{c}" for c in carry or ()]
+    two = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"__carry_{c}") for c in carry or ()])
+    two = two.join(F.broadcast(lab), F.col("doc_id") == F.col("l"), "left").select("doc_id", "text", "good", *extra)
 
-    counts = two.mapInArrow(_histogram, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    counts = two.select("text", "good").mapInArrow(_histogram, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, fit = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in counts.toLocalIterator():  # BUCKETS rows at most
         raw[r.bucket], fit[r.bucket] = r.raw, r.good
     model = spark.sparkContext.broadcast(log_ratio(raw, fit))
-    scored = staged(two.mapInArrow(_score(model, seed), "doc_id long, log_weight double, noisy double, place long, good int"), "weights")
+    kind = StructType(StructType.fromDDL("doc_id long, log_weight double, noisy double, place long, good int").fields + two.select(*extra).schema.fields)
+    scored = staged(two.mapInArrow(_score(model, seed, extra), kind), "weights")
     drop_staged(lab)
     level = scored.where("good = 2").agg(F.percentile("log_weight", F.lit(miss)).alias("x")).first()["x"]
     if level is None:
-        return scored.select("doc_id", "log_weight", "noisy", F.lit(True).alias("kept"))
+        return scored.select("doc_id", "log_weight", "noisy", F.lit(True).alias("kept"), *extra)
     k = scored.where(F.col("log_weight") >= level).count()
     least = kth_largest(scored, "place", k)
-    return scored.select("doc_id", "log_weight", "noisy", (F.col("place") >= F.lit(least)).alias("kept"))
+    return scored.select("doc_id", "log_weight", "noisy", (F.col("place") >= F.lit(least)).alias("kept"), *extra)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
