@@ -2,8 +2,12 @@
 
 ``run(spark, sf_dir)`` writes every stage's rows as Parquet in the shared folder and hands the
 next stage what it reads back, so a lost executor never repeats an earlier stage. All stages but
-the last return the columns of documents. Rows without a doc_id can't be told apart and leave in
-the first stage; rows that repeat a doc_id are kept or dropped together.
+the last return the columns of documents.
+
+No stage shuffles the texts to apply a decision: scores and repetitions are written with the rows
+they belong to, and for the two dedup stages a sieve of bounded size lets rows pass that no decision
+concerns. Rows without a doc_id, and different rows that repeat one, are judged each by itself (only
+the line stage leaves rows without doc_id as they are).
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ from tickloom.llm.base import staged, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _carried(rows: DataFrame, *more) -> DataFrame:
+    return rows.select(*[F.col(f"__carry_{c}").alias(c) for c in COLUMNS], *more)
+
+
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling keeps."""
-    kept = quality.resample(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    return _carried(quality.resample(docs, table(spark, sf_dir, "labels"), carry=list(COLUMNS)).where("kept"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +37,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (5 words, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    return minhash.drop_copies(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; copies of a document are equal rows."""
-    taken = mixing.mix_sources(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
-    return docs.join(taken.hint("shuffle_hash"), "doc_id").select(*COLUMNS, again.alias("copy")).drop("copy")
+    taken = mixing.mix_sources(docs, carry=list(COLUMNS)).where("times > 0")
+    return _carried(taken, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__copy")).drop("__copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
