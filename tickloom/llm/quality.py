@@ -136,7 +136,7 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
-def _score(model, seed: int, carried: list[str]):
+def _score(model, seed: int, carried: dict[str, str]):
     def run(batches):
         weight = model.value
         for batch in batches:
@@ -149,7 +149,7 @@ def _score(model, seed: int, carried: list[str]):
             out = np.round(out, 6)
             ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             noisy = out + _noise(ids, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array(noisy), pa.array(_ordered(noisy)), batch.column("good"), *(batch.column(c) for c in carried)], names=["doc_id", "log_weight", "noisy", "place", "good", *carried])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array(noisy), pa.array(_ordered(noisy)), batch.column("good"), *(batch.column(c) for c in carried.values())], names=["doc_id", "log_weight", "noisy", "place", "good", *carried])
 
     return run
 
@@ -183,17 +183,18 @@ def resample(docs: DataFrame, labels: DataFrame, miss: float = MISS, seed: int =
     # 1: good, fits the model; 2: good, sets the level; 0: not good
     lab = lab.select(F.col("doc_id").alias("l"), F.when(good, F.when(F.pmod("h", F.lit(HELD_OUT)) == 0, 2).otherwise(1)).otherwise(0).alias("good"))
     lab = staged(lab, "labels")
-    extra = [f"__carry_{c}" for c in carry or ()]
-    two = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"__carry_{c}") for c in carry or ()])
-    two = two.join(F.broadcast(lab), F.col("doc_id") == F.col("l"), "left").select("doc_id", "text", "good", *extra)
+    two = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"__carry_{c}") for c in carry or () if c not in ("doc_id", "text")])
+    source = {f"__carry_{c}": c if c in ("doc_id", "text") else f"__carry_{c}" for c in carry or ()}
+    extra = list(source)
+    two = two.join(F.broadcast(lab), F.col("doc_id") == F.col("l"), "left").drop("l")
 
     counts = two.select("text", "good").mapInArrow(_histogram, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, fit = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in counts.toLocalIterator():  # BUCKETS rows at most
         raw[r.bucket], fit[r.bucket] = r.raw, r.good
     model = spark.sparkContext.broadcast(log_ratio(raw, fit))
-    kind = StructType(StructType.fromDDL("doc_id long, log_weight double, noisy double, place long, good int").fields + two.select(*extra).schema.fields)
-    scored = staged(two.mapInArrow(_score(model, seed, extra), kind), "weights")
+    kind = StructType(StructType.fromDDL("doc_id long, log_weight double, noisy double, place long, good int").fields + two.select(*[F.col(c).alias(k) for k, c in source.items()]).schema.fields)
+    scored = staged(two.mapInArrow(_score(model, seed, source), kind), "weights")
     drop_staged(lab)
     level = scored.where("good = 2").agg(F.percentile("log_weight", F.lit(miss)).alias("x")).first()["x"]
     if level is None:

@@ -13,13 +13,14 @@ from __future__ import annotations
 import base64
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
 from .words import bounds
 
 #: Pieces remembered by a worker process; beyond that its cache starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 
 _ODD = re.compile(rb"[\x1c-\x1f\xc2\xe1-\xe3]")
 _ODD_LEAD = np.zeros(256, bool)
@@ -201,9 +202,12 @@ class PieceTokenizer:
             self._clear()
         raw = data.tobytes()
         pieces = [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-        if new := set(pieces).difference(self.slot):
-            self._learn(sorted(new))
-        return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        slot = np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(slot < 0)):
+            words = [pieces[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(words)))
+            slot[new] = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        return slot
 
     def _whole_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         odd = np.flatnonzero(_ODD_LEAD[data])

@@ -15,6 +15,7 @@ bijective mixer. Different contents can be built that share such a hash.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 
@@ -85,7 +86,7 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 #: Fixed key of all names; names of different runs are comparable.
 KEY = b"tickloom content names"
 #: Words that a worker process remembers; beyond that its memory starts anew (names don't change).
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def content_name(raw: bytes) -> bytes:
@@ -115,8 +116,7 @@ class Names(dict):
             self._raw = bytearray()
         first = np.zeros(len(rows) + 1, np.int64)
         np.cumsum([len(r) for r in rows], out=first[1:])
-        get = self.__getitem__
-        at = np.fromiter((i for r in rows for i in map(get, r)), np.int64, int(first[-1]))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(rows)), np.int64, int(first[-1]))
         both = self.halves()[at]
         return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), first
 
