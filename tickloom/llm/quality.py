@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import drop_staged, raw_bytes, slices, staged, table
+from .base import drop_staged, raw_bytes, slices, small_batches, staged, table
 from .words import Prefix, mix
 
 BUCKETS = 1 << 17
@@ -190,7 +190,9 @@ def resample(docs: DataFrame, labels: DataFrame, miss: float = MISS, seed: int =
 
     counts = two.select("text", "good").mapInArrow(_histogram, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, fit = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in counts.toLocalIterator():  # BUCKETS rows at most
+    with small_batches(spark):
+        got = counts.collect()  # BUCKETS rows at most
+    for r in got:
         raw[r.bucket], fit[r.bucket] = r.raw, r.good
     model = spark.sparkContext.broadcast(log_ratio(raw, fit))
     kind = StructType(StructType.fromDDL("doc_id long, log_weight double, noisy double, place long, good int").fields + two.select(*[F.col(c).alias(k) for k, c in source.items()]).schema.fields)
