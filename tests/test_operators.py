@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock, model_inputs, price
-from tickloom.operators import backtest, catalog, contract, evaluate, features, windows
+from tickloom.operators import backtest, baseline, book, catalog, contract, evaluate, features, windows
+from tickloom.sources import session_files
 
 K = "stock_code string, date string, session int, row_idx long"
 
@@ -79,7 +80,7 @@ def test_weighted_metrics_limits(spark):
 
 def test_positional_merge_refuses_unequal_files(spark):
     a = spark.createDataFrame([("f", 0, 1), ("f", 1, 2)], "file string, row_idx long, x int")
-    assert catalog.positional_merge(a, a).columns == ["file", "row_idx", "x", "x_txt0"]
+    assert catalog.positional_merge(a, a).columns == ["file", "row_idx", "x", "x_txt1"]
     with pytest.raises(ValueError, match="length"):
         catalog.positional_merge(a, a.limit(1))
 
@@ -90,7 +91,7 @@ def test_contracts():
     assert c.fingerprint() == contract.LabelContract(2500, 3500, 2, splits=c.splits).fingerprint()
     with pytest.raises(ValueError):
         contract.require_same(c.fingerprint(), contract.LabelContract(1, 2, 1).fingerprint(), "labels")
-    for text in ('{"a": 1, "a": 2}', '{"a": NaN}'):
+    for text in ('{"a": 1, "a": 2}', '{"a": NaN}', '{"a": 1e999}'):
         with pytest.raises(ValueError):
             contract.load_json(text)
 
@@ -103,3 +104,74 @@ def test_schedule_and_scorer(spark):
     assert sorted(r.pred for r in scored.collect()) == [3.0, 3.0]
     with pytest.raises(ValueError):
         model_inputs.standardise(F.col("x"), 0.0, 0.0)
+
+
+def test_imbalance_runs_take_all_levels(spark):
+    rows = [(20, 10, 5, 20), (10, 10, 5, 20), (10, 20, 5, 20), (20, 10, 5, 20), (10, 10, 5, 5), (30, 10, 5, 5), (10, 30, 5, 5)]
+    df = frame(spark, [(b, a, *[x] * 4, *[y] * 4) for b, a, x, y in rows], ", ".join(f"{c} long" for c in ("bz0", "az0", *(f"bz{i}" for i in range(1, 5)), *(f"az{i}" for i in range(1, 5)))))
+    assert [r.obi_runlen for r in book.obi_runs(df).orderBy("row_idx").collect()] == [1, 2, 3, 4, 0, 1, 1]
+    assert [r.obi_flicker_cnt for r in book.obi_flicker(df, 3).orderBy("row_idx").collect()] == [0, 0, 1, 0, 0, 0, 1]
+
+
+def test_audit_answers_none_beyond_the_tolerance(spark):
+    ratios = lambda *x: spark.createDataFrame([(f"f{i}", r, abs(math.log(r))) for i, r in enumerate(x)], "factor string, ratio double, dispersion double")
+    got = baseline.best_method(ratios(100.0, 2.0, 9.0, 9.0, 9.0), ratios(50.0, 1.0, 2.0, 2.5, 2.0), ratios(60.0, 1.0, 1.5, 9.0, 2.0), 3.0)
+    assert [r.method for r in got.orderBy("factor").collect()] == ["none", "raw", "mcap_norm", "volume_norm", "volume_norm"]
+    assert baseline.norm_map(got, {"q": 0.9})["groups"]["none"] == ["f0"]
+    flat = spark.createDataFrame([("a", "f", 0.0), ("b", "f", 2.0)], "stock_code string, factor string, q double")
+    assert baseline.scale_ratio(flat).first().ratio == 2.0 / 1e-12
+
+
+def test_what_cannot_be_traded_or_aligned_fails(spark):
+    df = frame(spark, [(2.0, True, 10, 11, 0), (0.0, False, 0, 0, 5)], "pred double, ok boolean, bid_tk long, ask_tk long, t_ms long")
+    held = backtest.positions(df, F.lit(1.0), F.lit(-1.0))
+    with pytest.raises(ValueError, match="open at the end"):
+        backtest.tradable(held)
+    assert backtest.tradable(held, skip=True).count() == 0
+    with pytest.raises(ValueError, match="change"):
+        backtest.tradable(df.withColumn("position", F.lit(0) + F.col("row_idx").cast("int") * 0 + F.when(F.col("row_idx") == 0, 1).otherwise(1)).withColumn("ok", F.lit(False)))
+    labels = df.withColumn("r_raw", F.lit(0.0)).withColumn("is_valid", F.lit(True))
+    good = df.select("stock_code", "date", "session", F.col("row_idx").alias("end_row"), "t_ms", "pred")
+    assert evaluate.align(good, labels).count() == 2 and evaluate.on_timeline(df.drop("pred"), good.limit(1)).where("pred is null").count() == 1
+    for bad in (good.withColumn("t_ms", F.col("t_ms") + 1), good.withColumn("end_row", F.col("end_row") + 9), good.unionByName(good)):
+        with pytest.raises(ValueError, match="fit"):
+            evaluate.align(bad, labels)
+
+
+def test_missing_shares_fail(spark):
+    df = frame(spark, [(1.0, 10, 11, 10, 5), (1.0, 10, 11, 10, None)], "f double, bid_tk long, ask_tk long, last_tk long, shares long")
+    assert features.mcap_normalise(df, "f", "shares", strict=False).where("mcap_norm is null").count() == 1
+    with pytest.raises(Exception, match="float shares"):
+        features.mcap_normalise(df, "f", "shares").collect()
+
+
+def test_stride_and_limit(spark):
+    df = frame(spark, [(i % 5 != 0,) for i in range(25)], "v boolean")
+    assert sorted(r.row_idx for r in windows.strided_sample(df, "v", 6).collect()) == [1, 4, 8, 12, 16, 19]
+    got = spark.range(1).select(features.clip_limit(F.lit(0.5), 37.0), features.clip_limit(F.lit(0.5), 37.0, 3.0), features.clip_limit(F.lit(0.0), 37.0)).first()
+    assert tuple(got) == (18.5, 3.0, 37e-12)
+
+
+def test_feature_contract_and_identity():
+    c = contract.FeatureContract(("a", "b"), volume_norm=("a",), mcap_norm=("b",), shares={"s": 5.0})
+    assert c.fingerprint() != contract.FeatureContract(("a", "b"), volume_norm=("a",)).fingerprint()
+    for bad in ({"volume_norm": ("a",), "mcap_norm": ("a",)}, {"volume_norm": ("x",)}, {"mcap_norm": ("b",), "shares": {"s": 0.0}}):
+        with pytest.raises(ValueError):
+            contract.FeatureContract(("a", "b"), **bad)
+    fine = {"stock_code": "s", "model_sha256": "0" * 64, "source_sha256": "1" * 64, "source_rows": 10}
+    contract.check_identity(fine, {"stock_code": "s"}, 9)
+    for bad, last in (({**fine, "stock_code": "t"}, 9), ({**fine, "model_sha256": "0"}, 9), (fine, 10)):
+        with pytest.raises(ValueError):
+            contract.check_identity(bad, {"stock_code": "s"}, last)
+
+
+def test_text_files_skip_blank_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 2\n\n  \n3\t4\n")
+    got = session_files.read_text_columns(spark, str(tmp_path), ["x", "y"]).orderBy("row_idx").collect()
+    assert [(r.row_idx, r.x, r.y) for r in got] == [(0, 1.0, 2.0), (1, 3.0, 4.0)]
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert session_files.renumbered(df, ["b", "c"], "f", 5).columns == ["a", "f5", "f6"]
+    session_files.write_json_lines(df, str(tmp_path / "j"))
+    assert session_files.read_json_lines(spark, str(tmp_path / "j"), "a int, b int, c int").collect() == df.collect()
+    digest = contract.file_digests(spark, [str(tmp_path / "a.txt")]).first()
+    assert digest.length == 12 and len(digest.sha256) == 64

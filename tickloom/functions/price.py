@@ -64,8 +64,8 @@ def legacy_mid(bid: Column, ask: Column, last: Column) -> Column:
 
 
 def sweep_price(depth: Column, prices: list[Column], cumulative: list[Column]) -> Column:
-    """The price of the first level whose cumulative depth covers ``depth``, else the last level's."""
+    """The price of the first level whose cumulative depth covers ``depth``; NULL if none does."""
     out = F.when(depth <= cumulative[0], prices[0])
-    for p, c in zip(prices[1:-1], cumulative[1:-1], strict=True):
+    for p, c in zip(prices[1:], cumulative[1:], strict=True):
         out = out.when(depth <= c, p)
-    return out.otherwise(prices[-1])
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.quotes import KEY, by_row
+from .evaluate import require
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,28 @@ def segments(df: DataFrame) -> DataFrame:
     )
 
 
+def segment_problems(df: DataFrame) -> DataFrame:
+    """(KEY, row_idx, problem): an open position at a last quote that can't be traded, or a change on such a row.
+
+    A session with one has no result: leaving the trade out would hide what it lost.
+    """
+    w = by_row()
+    df = df.withColumns({"last_row": F.max("row_idx").over(Window.partitionBy(*KEY)), "before_": F.coalesce(F.lag("position").over(w), F.lit(0))})
+    bad = ~F.coalesce(F.col("ok"), F.lit(False))
+    end = F.col("row_idx") == F.col("last_row")
+    fault = F.when(end & (F.col("before_") != 0) & bad, "open at the end").when(~end & (F.col("before_") != F.col("position")) & bad, "change")
+    return df.select(*KEY, "row_idx", fault.alias("problem")).where("problem is not null")
+
+
+def tradable(df: DataFrame, skip: bool = False) -> DataFrame:
+    """``df`` if every position can be opened and closed; otherwise fails, or with ``skip`` leaves those sessions out
+    (report ``segment_problems`` with the result then)."""
+    if skip:
+        return df.join(segment_problems(df).select(*KEY).distinct(), list(KEY), "left_anti")
+    require(segment_problems(df), "a position can't be traded")
+    return df
+
+
 def profit(trades: DataFrame, costs: Costs | None = None) -> DataFrame:
     """gross, cost and net return of each trade."""
     d, a, b = F.col("direction"), F.col("entry_tk").cast("double"), F.col("exit_tk").cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.price import finite_or_null
 from ..sources.quotes import KEY, by_row
 from .evaluate import require
 
@@ -48,27 +49,39 @@ def calendar_history(sessions: DataFrame, days: int) -> DataFrame:
 
 
 def positional_merge(left: DataFrame, right: DataFrame, file: str = "file") -> DataFrame:
-    """Rows of two files joined by position (file, row_idx); unequal lengths fail, clashing names get _txt{k}."""
-    clash = [c for c in right.columns if c in left.columns and c not in (file, "row_idx")]
-    renamed = right.withColumnsRenamed({c: f"{c}_txt{n}" for n, c in enumerate(clash)})
+    """Rows of two files joined by position (file, row_idx); unequal lengths fail; a name that is taken gets the first free _txt1, _txt2…"""
+    taken, names = set(left.columns), {}
+    for c in right.columns:
+        if c not in (file, "row_idx"):
+            names[c] = next(n for n in (c, *(f"{c}_txt{k}" for k in range(1, len(taken) + 2))) if n not in taken)
+            taken.add(names[c])
+    renamed = right.withColumnsRenamed(names)
     mark = lambda d, c: d.withColumn(c, F.lit(True))
     both = mark(left, "l_").join(mark(renamed, "r_"), [file, "row_idx"], "full_outer")
     require(both.where("l_ is null or r_ is null").select(file, "row_idx"), "files differ in length")
     return both.drop("l_", "r_")
 
 
-def check_bundle(predictions: DataFrame) -> DataFrame:
-    """(KEY, problem) for sessions whose predictions are not one strictly increasing, finite, time-ordered run."""
-    w = Window.partitionBy(*KEY).orderBy("end_row")
+def check_bundle(predictions: DataFrame, order: str = "end_row") -> DataFrame:
+    """(KEY, problem) for sessions whose predictions, as stored (column ``order`` tells how), are not one run of
+    strictly increasing rows with finite predictions and known times that never fall."""
+    w = Window.partitionBy(*KEY).orderBy(order)
     p = predictions.withColumns({"pr_": F.lag("end_row").over(w), "pt_": F.lag("t_ms").over(w)})
-    bad = F.when(F.col("end_row").isNull() | (F.col("end_row") < 0), "end_row").when(F.col("pr_") == F.col("end_row"), "repeated").when(F.col("pt_") > F.col("t_ms"), "time").when(
-        F.col("pred").isNull() | F.isnan(F.col("pred").cast("double")), "pred"
-    )
-    return p.select(*KEY, bad.alias("problem")).where("problem is not null").distinct()
+    faults = {
+        "end_row": F.col("end_row").isNull() | (F.col("end_row") < 0),
+        "order": F.col("pr_") >= F.col("end_row"),
+        "pred": finite_or_null(F.col("pred").cast("double")).isNull(),
+        "time": F.col("t_ms").isNull() | (F.col("pt_") > F.col("t_ms")),
+    }
+    every = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in faults.items()]))
+    return p.select(*KEY, F.explode(every).alias("problem")).distinct()
 
 
 def run_block_mismatch(runs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Runs whose blocks do not add up to them."""
-    inside = (F.col("block_start") >= F.col("run_start")) & (F.col("block_start") < F.col("run_start") + F.col("run_len"))
-    got = runs.join(blocks, [*KEY]).where(inside).groupBy(*KEY, "run_start", "run_len").agg(F.sum("block_len").alias("covered"))
-    return runs.join(got.drop("run_len"), [*KEY, "run_start"], "left").where("covered is null or covered <> run_len")
+    """(KEY, run_start) of runs whose blocks (KEY, run_start, block_start, block_len) don't cover them once, and of blocks without their run."""
+    w = Window.partitionBy(*KEY, "run_start").orderBy("block_start")
+    b = blocks.withColumn("over_", F.lag(F.col("block_start") + F.col("block_len")).over(w) != F.col("block_start"))
+    got = b.groupBy(*KEY, "run_start").agg(F.min("block_start").alias("from_"), F.max(F.col("block_start") + F.col("block_len")).alias("to_"), F.coalesce(F.max("over_"), F.lit(False)).alias("over_"), F.min("block_len").alias("least_"))
+    both = runs.select(*KEY, "run_start", "run_len").join(got, [*KEY, "run_start"], "full_outer")
+    fine = ~F.col("over_") & (F.col("least_") > 0) & (F.col("from_") == F.col("run_start")) & (F.col("to_") == F.col("run_start") + F.col("run_len"))
+    return both.where(~F.coalesce(fine, F.lit(False))).select(*KEY, "run_start")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,12 @@ def load_json(text: str) -> dict:
     def no_constant(x):
         raise ValueError(f"{x} is no JSON number")
 
-    return json.loads(text, object_pairs_hook=pairs, parse_constant=no_constant)
+    def finite(x):
+        if not math.isfinite(value := float(x)):
+            raise ValueError(f"{x} is beyond a double")
+        return value
+
+    return json.loads(text, object_pairs_hook=pairs, parse_constant=no_constant, parse_float=finite)
 
 
 @dataclass(frozen=True)
@@ -51,6 +57,44 @@ class LabelContract:
         return canonical_sha256({k: v for k, v in asdict(self).items()})
 
 
+@dataclass(frozen=True)
+class FeatureContract:
+    """What can change a feature's value between building and using a model."""
+
+    factors: tuple[str, ...]
+    forward_fill: bool = True
+    fill: float | None = 0.0
+    volume_norm: tuple[str, ...] = ()
+    mcap_norm: tuple[str, ...] = ()
+    ema_span: int = 200
+    volume_floor: float = 1.0
+    mcap_floor: float = 1.0
+    shares: dict[str, float] = field(default_factory=dict)
+    version: int = 1
+
+    def __post_init__(self):
+        if both := set(self.volume_norm) & set(self.mcap_norm):
+            raise ValueError(f"normalised in two ways: {sorted(both)}")
+        if lost := (set(self.volume_norm) | set(self.mcap_norm)) - set(self.factors):
+            raise ValueError(f"no such factor: {sorted(lost)}")
+        if self.mcap_norm and not all(x > 0 and math.isfinite(x) for x in self.shares.values()):
+            raise ValueError("float shares must be positive")
+
+    def fingerprint(self) -> str:
+        return canonical_sha256(asdict(self))
+
+
+def check_identity(found: dict, wanted: dict, last_row: int) -> None:
+    """A prediction bundle's metadata must name what is asked for, its model and source, and more rows than it ends at."""
+    if wrong := sorted(k for k, v in wanted.items() if found.get(k) != v):
+        raise ValueError(f"the bundle is another one: {wrong}")
+    for k in ("model_sha256", "source_sha256"):
+        if not isinstance(found.get(k), str) or len(found[k]) != 64:
+            raise ValueError(f"the bundle lacks {k}")
+    if not isinstance(found.get("source_rows"), int) or found["source_rows"] <= last_row:
+        raise ValueError("the bundle ends behind its source")
+
+
 def require_same(found: str, wanted: str, what: str) -> None:
     if found != wanted:
         raise ValueError(f"{what}: contract {found[:12]} where {wanted[:12]} is needed")

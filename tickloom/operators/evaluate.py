@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.quotes import KEY, by_row
@@ -15,11 +15,26 @@ def require(bad: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {rows[0].asDict()}")
 
 
+def alignment_problems(predictions: DataFrame, labels: DataFrame, tolerance_ms: int = 0) -> DataFrame:
+    """(KEY, end_row, problem): predictions (KEY, end_row, t_ms, pred) that repeat a row, have none in ``labels``
+    (KEY, row_idx, t_ms, …), or another time there."""
+    l = labels.select(*KEY, F.col("row_idx").alias("end_row"), F.col("t_ms").alias("label_t"))  # noqa: E741
+    p = predictions.withColumn("times_", F.count("*").over(Window.partitionBy(*KEY, "end_row")))
+    j = p.join(l, [*KEY, "end_row"], "left")
+    fault = F.when(F.col("times_") > 1, "repeated").when(F.col("label_t").isNull(), "row").when(~F.coalesce(F.abs(F.col("t_ms") - F.col("label_t")) <= tolerance_ms, F.lit(False)), "time")
+    return j.select(*KEY, "end_row", fault.alias("problem")).where("problem is not null").distinct()
+
+
 def align(predictions: DataFrame, labels: DataFrame, tolerance_ms: int = 0) -> DataFrame:
-    """Predictions (KEY, end_row, t_ms, pred) with their labels (KEY, row_idx, t_ms, r_raw, is_valid)."""
-    l = labels.select(*KEY, F.col("row_idx").alias("end_row"), F.col("t_ms").alias("label_t"), "r_raw", "is_valid")  # noqa: E741
-    out = predictions.join(l, [*KEY, "end_row"])
-    return out.withColumn("aligned", F.abs(F.col("t_ms") - F.col("label_t")) <= tolerance_ms)
+    """Predictions with their labels (r_raw, is_valid); fails if any has no row of its own with the same time."""
+    require(alignment_problems(predictions, labels, tolerance_ms), "predictions don't fit the labels")
+    return predictions.join(labels.select(*KEY, F.col("row_idx").alias("end_row"), "r_raw", "is_valid"), [*KEY, "end_row"])
+
+
+def on_timeline(rows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Every row of ``rows`` with its prediction, NULL where there is none; fails like ``align``."""
+    require(alignment_problems(predictions, rows), "predictions don't fit the rows")
+    return rows.join(predictions.select(*KEY, F.col("end_row").alias("row_idx"), "pred"), [*KEY, "row_idx"], "left")
 
 
 def pearson(x: str, y: str) -> Column:
@@ -56,19 +71,17 @@ def thresholds(df: DataFrame, top_long: float, top_short: float, column: str = "
 
 
 def top_events(df: DataFrame, top: float, cost: float = 0.0) -> DataFrame:
-    """(side, events, rows, mean_return, net_return): runs of adjacent rows beyond a threshold (strictly).
-
-    The mean is of the runs' own means; a short run's return changes its sign.
+    """(side, events, mean_rows, mean_return, net_return): runs of adjacent rows beyond a threshold (strictly),
+    long, short and both combined. The mean is of the runs' own means; a short run's return changes its sign.
     """
-    t = F.broadcast(thresholds(df, top, top))
-    df = df.join(t)
-    out = None
+    df = df.join(F.broadcast(thresholds(df, top, top)))
+    every = None
     for side, on, sign in (("long", F.col("pred") > F.col("thr_long"), 1), ("short", F.col("pred") < F.col("thr_short"), -1)):
         rows = df.where(on).withColumn("island_", F.col("row_idx") - F.row_number().over(by_row()))
-        event = rows.groupBy(*KEY, "island_").agg((F.avg("r_raw") * sign).alias("m"), F.count("*").alias("n"))
-        one = event.agg(F.lit(side).alias("side"), F.count("*").alias("events"), F.avg("n").alias("mean_rows"), F.avg("m").alias("mean_return"), (F.avg("m") - cost).alias("net_return"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        event = rows.groupBy(*KEY, "island_").agg((F.avg("r_raw") * sign).alias("m"), F.count("*").alias("n")).select(F.lit(side).alias("side"), "m", "n")
+        every = event if every is None else every.unionByName(event)
+    both = every.select(F.explode(F.array("side", F.lit("combined"))).alias("side"), "m", "n")
+    return both.groupBy("side").agg(F.count("*").alias("events"), F.avg("n").alias("mean_rows"), F.avg("m").alias("mean_return"), (F.avg("m") - cost).alias("net_return"))
 
 
 def regression_metrics(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

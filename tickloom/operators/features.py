@@ -26,23 +26,46 @@ def scale_clip(label: Column, scale: float, limit: float | Column) -> tuple[Colu
     return F.when(y.isNotNull(), F.least(F.greatest(y, -bound), bound)), F.coalesce(F.abs(y) > bound, F.lit(False))
 
 
+def clip_limit(q99: Column, scale: float, most: float = 0.0, eps: float = 1e-12) -> Column:
+    """The scaled label's limit: the train q99 times the scale, ``most`` at most where that is positive, and eps times the scale at least."""
+    limit = q99 * F.lit(scale)
+    if most > 0:
+        limit = F.least(limit, F.lit(most))
+    return F.greatest(limit, F.lit(eps * scale))
+
+
 def sample_weight(label: Column, q90: Column, alpha: float = 1.0, most: float = 3.0, low: float = 0.5, high: float = 4.0) -> Column:
     """clip(1 + alpha * clip(|r| / q90, 0, most), low, high); 0 where there is no label."""
     pull = F.least(F.greatest(F.abs(label) / q90, F.lit(0.0)), F.lit(most))
     return F.when(label.isNotNull(), F.least(F.greatest(1 + alpha * pull, F.lit(low)), F.lit(high))).otherwise(F.lit(0.0))
 
 
-def volume_normalise(df: DataFrame, column: str, span: int, floor: float = 1.0, out: str = "volume_norm") -> DataFrame:
-    """column over the exponential mean of positive changes of acc_volume."""
+def with_volume_mean(df: DataFrame, span: int, floor: float = 1.0, out: str = "volume_mean") -> DataFrame:
+    """Adds the exponential mean of positive changes of acc_volume, ``floor`` at least."""
     step = F.col("acc_volume") - F.lag("acc_volume").over(by_row())
     df = ewm(df.withColumn("dv_", F.greatest(F.coalesce(step, F.lit(0)), F.lit(0))), "dv_", span, "ema_")
-    return df.withColumn(out, F.col(column) / F.greatest(F.col("ema_"), F.lit(floor))).drop("dv_", "ema_")
+    return df.withColumn(out, F.greatest(F.col("ema_"), F.lit(floor))).drop("dv_", "ema_")
+
+
+def volume_normalise(df: DataFrame, column: str, span: int, floor: float = 1.0, out: str = "volume_norm") -> DataFrame:
+    """column over the exponential mean of positive changes of acc_volume."""
+    df = with_volume_mean(df, span, floor, "mean_")
+    return df.withColumn(out, F.col(column) / F.col("mean_")).drop("mean_")
+
+
+def market_value(shares: Column, price2: Column, floor: float = 1.0, strict: bool = True) -> Column:
+    """price * shares in price units (ticks are 1e-4; price2 is twice the price), ``floor`` at least.
+
+    Fails where the float shares or the price is not positive; without ``strict`` such a row has none.
+    """
+    value = F.when((price2 > 0) & (shares > 0), F.greatest(price2 / F.lit(20_000.0) * shares, F.lit(floor)))
+    return F.coalesce(value, F.raise_error(F.lit("no market value without positive float shares and price")).cast("double")) if strict else value
 
 
-def mcap_normalise(df: DataFrame, column: str, shares: str, floor: float = 1.0, out: str = "mcap_norm") -> DataFrame:
-    """column over price * shares (in price units: ticks are 1e-4)."""
-    price = reference_mid2(None, F.col("bid_tk"), F.col("ask_tk"), F.col("last_tk")) / F.lit(20_000.0)
-    return df.withColumn(out, F.col(column) / F.greatest(price * F.col(shares), F.lit(floor)))
+def mcap_normalise(df: DataFrame, column: str, shares: str, floor: float = 1.0, out: str = "mcap_norm", strict: bool = True) -> DataFrame:
+    """column over the market value at the reference price."""
+    price2 = reference_mid2(None, F.col("bid_tk"), F.col("ask_tk"), F.col("last_tk"))
+    return df.withColumn(out, F.col(column) / market_value(F.col(shares), price2, floor, strict))
 
 
 def input_stats(df: DataFrame, columns: list[str], where: Column) -> DataFrame:

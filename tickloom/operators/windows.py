@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.price import finite_or_null
 from ..sources.quotes import KEY, by_row, by_time
 
 INVALID_NOW, SHORT_HORIZON, TOO_FEW, NOT_FINITE = 1, 2, 4, 8
@@ -100,14 +101,14 @@ def ewm(df: DataFrame, column: str, span: int, out: str) -> DataFrame:
 
 
 def window_eligible(df: DataFrame, rows: int, max_span_ms: int = 0, max_gap_ms: int = 0, weight: Column | None = None) -> DataFrame:
-    """Adds end_ok: may a trailing window of ``rows`` rows end here? 0 switches a limit off.
+    """Adds end_ok: may a trailing window of ``rows`` rows end here? 0 switches a limit off; a weight must be finite and above 0.
 
     Also adds span_bad and gap_bad, the exclusions among rows with enough history and weight.
     """
     w = by_row()
     df = df.withColumn("gap_", F.col("t_ms") - F.lag("t_ms").over(w))
     inside = w.rowsBetween(2 - rows, 0)
-    enough = (F.col("row_idx") >= rows - 1) & (F.lit(True) if weight is None else F.coalesce(weight > 0, F.lit(False)))
+    enough = (F.col("row_idx") >= rows - 1) & (F.lit(True) if weight is None else F.coalesce(finite_or_null(weight) > 0, F.lit(False)))
     span = F.col("t_ms") - F.lag("t_ms", rows - 1).over(w)
     gap_bad = F.coalesce(F.min("gap_").over(inside) < 0, F.lit(False)) if rows > 1 else F.lit(False)
     if max_gap_ms and rows > 1:
@@ -129,11 +130,11 @@ def islands(df: DataFrame, flag: Column | str) -> DataFrame:
 
 
 def blocks(runs: DataFrame, most: int) -> DataFrame:
-    """Runs cut into blocks of at most ``most`` rows: (KEY, block_start, block_len)."""
+    """Runs cut into blocks of at most ``most`` rows: (KEY, run_start, block_start, block_len)."""
     n = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(run_len - 1) div {most}"))).alias("n_")
     cut = runs.select(*KEY, "run_start", "run_len", n)
     start = F.col("run_start") + F.col("n_") * most
-    return cut.select(*KEY, start.alias("block_start"), F.least(F.lit(most), F.col("run_len") - F.col("n_") * most).cast("long").alias("block_len"))
+    return cut.select(*KEY, "run_start", start.alias("block_start"), F.least(F.lit(most), F.col("run_len") - F.col("n_") * most).cast("long").alias("block_len"))
 
 
 def window_arrays(df: DataFrame, columns: Sequence[str], rows: int, end_ok: Column | str = "end_ok") -> DataFrame:

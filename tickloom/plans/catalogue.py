@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 LOW, HIGH, LEAST = 1_800_000, 7_200_000, 2
 SPLITS = {"train": ("2024-01-01", "2024-01-20"), "val": ("2024-01-21", "2024-01-25"), "test": ("2024-01-26", "2024-01-30")}
 ROWS, SPAN, GAP = 5, 10_800_000, 3_600_000
+SAMPLE = 5_000  # rows of a session that statistics take at most
 ID = ("stock_code", "date", "session", "row_idx")
 KEYS = "stock_code, date, session"
 OVER_ROW = "(PARTITION BY stock_code, date, session ORDER BY row_idx)"
@@ -91,26 +92,25 @@ def _(q):
     """ SELECT event_id, mid2 AS label_mid2, CASE WHEN last_tk > 0 THEN 2 * last_tk END AS last_only_mid2,
        coalesce(CASE WHEN bid_tk > 0 AND ask_tk > 0 AND ask_tk >= bid_tk THEN bid_tk + ask_tk END, CASE WHEN last_tk > 0 THEN 2 * last_tk END) AS ref_mid2,
        bid_tk + ask_tk AS audit_mid2, coalesce(bid_tk + ask_tk, 2 * last_tk) AS enrich_mid2,
-       round_even((CASE WHEN bid_tk > 0 AND ask_tk > 0 THEN (bid_tk + ask_tk) / 2 ELSE last_tk END) / 10000 * 1000, 0) / 1000 AS legacy_mid FROM q""",
+       round_even((CASE WHEN bid_tk > 0 AND ask_tk > 0 THEN (CAST(bid_tk AS DOUBLE) / 10000 + CAST(ask_tk AS DOUBLE) / 10000) / 2 ELSE CAST(last_tk AS DOUBLE) / 10000 END) * 1000, 0) / 1000 AS legacy_mid FROM q""",
 )
 def _(q):
     b, a, x = F.col("bid_tk"), F.col("ask_tk"), F.col("last_tk")
-    unit = lambda c: c
-    legacy = F.rint(F.when((b > 0) & (a > 0), (b + a) / 2).otherwise(x) / 10_000 * 1000) / 1000
+    legacy = price.legacy_mid(*[c.cast("double") / 10_000 for c in (b, a, x)])
     return q.select(
         "event_id", price.label_mid2(b, a, x).alias("label_mid2"), price.label_mid2(b, a, x, False).alias("last_only_mid2"), price.reference_mid2(None, b, a, x).alias("ref_mid2"),
-        price.audit_mid2(b, a, x).alias("audit_mid2"), price.enrich_mid2(b, a, x).alias("enrich_mid2"), unit(legacy).alias("legacy_mid"),
+        price.audit_mid2(b, a, x).alias("audit_mid2"), price.enrich_mid2(b, a, x).alias("enrich_mid2"), legacy.alias("legacy_mid"),
     )
 
 
 @query(
     "scalar_rules",
-    f""" SELECT {IDS}, {sql_rounded(("safe", "f0 / (f2 + 1e-12)"), ("filled", "coalesce(f0, -1)"), ("logged", "ln(1 + abs(pred_m))"), ("signed", "sign(pred_m)"), ("rooted", "sqrt(abs(pred_m))"))},
-       CASE WHEN f0 IS NOT NULL THEN least(greatest(f0, 1000), 20000) END AS clipped, CAST(least(greatest(t_ms // 600000, 0), 143) AS INT) AS bucket FROM q WHERE f2 > 0""",
+    f""" SELECT {IDS}, {sql_rounded(("safe", "CASE WHEN f2 > 0 THEN f0 / (f2 + 1e-12) END"), ("filled", "coalesce(f0, -1)"), ("logged", "ln(1 + abs(pred_m))"), ("signed", "sign(pred_m)"), ("rooted", "sqrt(abs(pred_m))"))},
+       CASE WHEN f0 IS NOT NULL THEN least(greatest(f0, 1000), 20000) END AS clipped, CAST(least(greatest(t_ms // 600000, 0), 143) AS INT) AS bucket FROM q""",
 )
 def _(q):
     p = F.abs("pred_m").cast("double")
-    q = q.where("f2 > 0").withColumns({"safe": price.safe_div(F.col("f0"), F.col("f2")), "filled": price.fill(F.col("f0"), -1), "logged": F.log1p(p), "signed": F.signum(F.col("pred_m").cast("double")), "rooted": F.sqrt(p)})
+    q = q.withColumns({"safe": F.when(F.col("f2") > 0, price.safe_div(F.col("f0"), F.col("f2"))), "filled": price.fill(F.col("f0"), -1), "logged": F.log1p(p), "signed": F.signum(F.col("pred_m").cast("double")), "rooted": F.sqrt(p)})
     return q.select(*ID, *[r(c).alias(c) for c in ("safe", "filled", "logged", "signed", "rooted")], price.clip(F.col("f0"), 1000, 20000).cast("long").alias("clipped"), clock.bucket_of_day(F.col("t_ms"), 600).alias("bucket"))
 
 
@@ -192,14 +192,14 @@ def _(q):
 
 TRAIN_SQL = label_sql() + f""", tr AS (SELECT * FROM lab WHERE {SPLIT_SQL} = 'train' AND r_raw IS NOT NULL),
  sm0 AS (SELECT *, count(*) OVER (PARTITION BY {KEYS}) AS n_, row_number() OVER {OVER_ROW} - 1 AS rn_ FROM tr),
- sm AS (SELECT * FROM sm0 WHERE rn_ % greatest(1, n_ // 20) = 0 AND rn_ // greatest(1, n_ // 20) < 20),
+ sm AS (SELECT * FROM sm0 WHERE rn_ % greatest(1, n_ // {SAMPLE}) = 0 AND rn_ // greatest(1, n_ // {SAMPLE}) < {SAMPLE}),
  st AS (SELECT count(*) AS n, greatest(quantile_cont(abs(r_raw), 0.9), 1e-12) AS q90, quantile_cont(abs(r_raw), 0.99) AS q99, max(abs(r_raw)) AS q100 FROM sm)"""
 
 
 def train_stats(q: DataFrame) -> tuple[DataFrame, DataFrame]:
     lab = labelled(q)
     train = lab.where(clock.split_of(F.col("date"), SPLITS) == "train")
-    return lab, features.label_quantiles(win.strided_sample(train, "is_valid", 20))
+    return lab, features.label_quantiles(win.strided_sample(train, "is_valid", SAMPLE))
 
 
 @query("label_quantiles_train", TRAIN_SQL + " SELECT n, round(q90, 9) AS q90, round(q99, 9) AS q99, round(q100, 9) AS q100, n >= 1000 AS enough FROM st")
@@ -209,19 +209,19 @@ def _(q):
 
 @query("stride_sample", TRAIN_SQL + f" SELECT {IDS} FROM sm")
 def _(q):
-    return win.strided_sample(labelled(q).where(clock.split_of(F.col("date"), SPLITS) == "train"), "is_valid", 20).select(*ID)
+    return win.strided_sample(labelled(q).where(clock.split_of(F.col("date"), SPLITS) == "train"), "is_valid", SAMPLE).select(*ID)
 
 
 @query(
     "label_scale_clip",
     TRAIN_SQL
-    + f""", sc AS (SELECT lab.*, CAST(r_raw * 37.0 AS FLOAT) AS y, CAST(round(q90, 6) * 37.0 AS FLOAT) AS lim FROM lab, st)
+    + f""", sc AS (SELECT lab.*, CAST(r_raw * 37.0 AS FLOAT) AS y, CAST(greatest(round(q99, 6) * CAST(37 AS DOUBLE), 1e-12 * 37) AS FLOAT) AS lim FROM lab, st)
     SELECT {IDS}, round(CAST(CASE WHEN y IS NOT NULL THEN least(greatest(y, -lim), lim) END AS DOUBLE), 5) + 0.0 AS r_scaled, coalesce(abs(y) > lim, false) AS was_clipped FROM sc""",
 )
 def _(q):
     lab, st = train_stats(q)
-    y, clipped = features.scale_clip(F.col("r_raw"), 37.0, F.round("q90", 6) * 37.0)
-    return lab.join(F.broadcast(st.select("q90"))).select(*ID, r(y, 5).alias("r_scaled"), clipped.alias("was_clipped"))
+    y, clipped = features.scale_clip(F.col("r_raw"), 37.0, features.clip_limit(F.round("q99", 6), 37.0))
+    return lab.join(F.broadcast(st.select("q99"))).select(*ID, r(y, 5).alias("r_scaled"), clipped.alias("was_clipped"))
 
 
 @query("sample_weight", TRAIN_SQL + f" SELECT {IDS}, round(CASE WHEN r_raw IS NULL THEN 0.0 ELSE least(greatest(1 + least(greatest(abs(r_raw) / q90, 0.0), 3.0), 0.5), 4.0) END, 7) AS weight FROM lab, st")
@@ -250,7 +250,7 @@ def _(q):
 
 def ewm_sql(column: str, span: int) -> str:
     a = 2 / (span + 1)
-    return f"list_reduce(list(CAST({column} AS DOUBLE)) OVER (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda e, x: e * {1 - a!r} + x * {a!r})"
+    return f"list_reduce(list(CAST({column} AS DOUBLE)) FILTER ({column} IS NOT NULL) OVER (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda e, x: e * {1 - a!r} + x * {a!r})"
 
 
 DV_SQL = f", dv AS (SELECT *, greatest(coalesce(acc_volume - lag(acc_volume) OVER {OVER_ROW}, 0), 0) AS dv FROM q)"
@@ -263,16 +263,13 @@ def _(q):
 
 @query(
     "mcap_norm",
-    SHARES_SQL + f" SELECT {IDS}, round(f0 / greatest(CASE WHEN ok THEN bid_tk + ask_tk WHEN last_tk > 0 THEN 2 * last_tk END / 20000.0 * shares, 1.0) * 1000000, 6) + 0.0 AS mcap_norm FROM q JOIN sh USING (stock_code) WHERE mid2 IS NOT NULL",
+    SHARES_SQL + f" SELECT {IDS}, round(f0 / greatest(CASE WHEN ok THEN bid_tk + ask_tk WHEN last_tk > 0 THEN 2 * last_tk END / 20000.0 * shares, CASE WHEN ok OR last_tk > 0 THEN 1.0 END) * 1000000, 6) + 0.0 AS mcap_norm FROM q JOIN sh USING (stock_code)",
 )
 def _(q):
-    m = features.mcap_normalise(with_shares(q.where("mid2 is not null")), "f0", "shares")
+    m = features.mcap_normalise(with_shares(q), "f0", "shares", strict=False)
     return m.select(*ID, r(F.col("mcap_norm") * 1_000_000, 6).alias("mcap_norm"))
 
 
-INPUT_SQL = ", ".join(f"('{c}')" for c in ("f0", "f1", "f2"))
-
-
 @query(
     "input_stats_train",
     label_sql()
@@ -300,6 +297,16 @@ def _(q):
     return eligible(q).select(*ID, "end_ok", "span_bad", "gap_bad")
 
 
+WEIGHT_SQL = "CASE WHEN event_id % 19 = 0 THEN 0 WHEN event_id % 23 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 29 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE 1 END"
+
+
+@query("window_eligible_weighted", ELIGIBLE_SQL + f", wt AS (SELECT *, {WEIGHT_SQL} AS w FROM ok_) SELECT {IDS}, end_ok AND w > 0 AND isfinite(w) AS end_ok FROM wt")
+def _(q):
+    i = F.col("event_id")
+    w = F.when(i % 19 == 0, 0.0).when(i % 23 == 0, float("nan")).when(i % 29 == 0, float("inf")).otherwise(1.0)
+    return win.window_eligible(q, ROWS, SPAN, GAP, weight=w).select(*ID, "end_ok")
+
+
 RUNS_SQL = ELIGIBLE_SQL + f", isl AS (SELECT *, row_idx - row_number() OVER {OVER_ROW} AS g_ FROM ok_ WHERE end_ok), runs AS (SELECT {KEYS}, min(row_idx) AS run_start, count(*) AS run_len FROM isl GROUP BY {KEYS}, g_)"
 
 
@@ -308,18 +315,29 @@ def _(q):
     return win.islands(eligible(q), "end_ok").select(*KEY, "run_start", "run_len")
 
 
-BLOCKS_SQL = RUNS_SQL + f", blk AS (SELECT {KEYS}, run_start + n * 4 AS block_start, least(4, run_len - n * 4) AS block_len FROM (SELECT *, unnest(range(0, (run_len - 1) // 4 + 1)) AS n FROM runs))"
+BLOCKS_SQL = RUNS_SQL + f", blk AS (SELECT {KEYS}, run_start, run_start + n * 4 AS block_start, least(4, run_len - n * 4) AS block_len FROM (SELECT *, unnest(range(0, (run_len - 1) // 4 + 1)) AS n FROM runs))"
 
 
 @query("end_blocks", BLOCKS_SQL + f" SELECT {KEYS}, block_start, block_len FROM blk")
 def _(q):
-    return win.blocks(win.islands(eligible(q), "end_ok"), 4)
+    return win.blocks(win.islands(eligible(q), "end_ok"), 4).select(*KEY, "block_start", "block_len")
 
 
-@query("run_block_mismatch", BLOCKS_SQL + f" SELECT {KEYS}, run_start, run_len FROM runs WHERE false")
+@query(
+    "run_block_mismatch",
+    BLOCKS_SQL
+    + f""", broken AS (SELECT {KEYS}, run_start, CASE WHEN block_start % 11 = 0 THEN block_start - 1 ELSE block_start END AS block_start, block_len FROM blk WHERE block_start % 7 <> 0),
+     rows_ AS (SELECT {KEYS}, run_start, unnest(range(block_start, block_start + block_len)) AS x FROM broken),
+     seen AS (SELECT {KEYS}, run_start, x, count(*) AS times FROM rows_ GROUP BY ALL),
+     want AS (SELECT {KEYS}, run_start, unnest(range(run_start, run_start + run_len)) AS x FROM runs)
+    SELECT DISTINCT {KEYS}, run_start FROM want FULL JOIN seen USING (stock_code, date, session, run_start, x) WHERE times IS NULL OR times > 1 OR NOT EXISTS
+      (SELECT 1 FROM want w WHERE w.stock_code = seen.stock_code AND w.date = seen.date AND w.session = seen.session AND w.run_start = seen.run_start AND w.x = seen.x)""",
+)
 def _(q):
     runs = win.islands(eligible(q), "end_ok").select(*KEY, "run_start", "run_len")
-    return catalog.run_block_mismatch(runs, win.blocks(runs, 4)).select(*KEY, "run_start", "run_len")
+    blocks = win.blocks(runs, 4).where("block_start % 7 <> 0")
+    blocks = blocks.withColumn("block_start", F.when(F.col("block_start") % 11 == 0, F.col("block_start") - 1).otherwise(F.col("block_start")))
+    return catalog.run_block_mismatch(runs, blocks)
 
 
 @query(
@@ -357,7 +375,7 @@ def _(q):
 E = "1e-12"
 BZ, AZ = " + ".join(f"bz{i}" for i in range(5)), " + ".join(f"az{i}" for i in range(5))
 WB, WA = (" + ".join(f"{p}{i} * {1.0 / (i + 1)!r}" for i in range(5)) for p in ("bz", "az"))
-MID = "((bid0 + ask0) / 2)"
+MID = "(coalesce(bid0 + ask0, 2 * last_tk) / 2)"
 
 
 def div(a: str, b: str) -> str:
@@ -375,31 +393,47 @@ def _(q):
 @query(
     "book_depth_imbalance",
     f""" SELECT {IDS}, {sql_rounded(("depth_bid_L4", BZ), ("depth_ask_L4", AZ), ("log_depth_total_L4", f"ln(1 + {BZ} + {AZ})"), ("obi_L1", div("bz0 - az0", "bz0 + az0")),
+       ("depth_ask_L1", "az0"), ("log_depth_bid_L1", "ln(1 + greatest(bz0, 0))"), ("log_depth_ask_L1", "ln(1 + greatest(az0, 0))"),
        ("obi_L4", div(f"({BZ}) - ({AZ})", f"{BZ} + {AZ}")), ("wobi_L4", div(f"({WB}) - ({WA})", f"({WB}) + ({WA})")))} FROM q""",
 )
 def _(q):
-    return rounded(book.depth_imbalance(q), "depth_bid_L4", "depth_ask_L4", "log_depth_total_L4", "obi_L1", "obi_L4", "wobi_L4")
+    return rounded(book.depth_imbalance(q), "depth_bid_L4", "depth_ask_L4", "log_depth_total_L4", "depth_ask_L1", "log_depth_bid_L1", "log_depth_ask_L1", "obi_L1", "obi_L4", "wobi_L4")
 
 
-SB, SA = div("bid0 - bid4", f"({BZ})"), div("ask4 - ask0", f"({AZ})")
+SB, SA = div(f"({MID} - bid4)", f"({BZ})"), div(f"(ask4 - {MID})", f"({AZ})")
 
 
-@query("book_slope_curvature", f" SELECT {IDS}, {sql_rounded(('slope_bid_L4', SB), ('slope_ask_L4', SA), ('slope_asym', f'{SB} - {SA}'), ('curv_bid_L1_over_L4', div(div('bid0 - bid1', 'bz0'), SB)), ('curv_ask_L1_over_L4', div(div('ask1 - ask0', 'az0'), SA)))} FROM q")
+# with an empty book these are a price over 1e-12: six significant digits of that are compared
+def scaled(name: str) -> str:
+    return f"CASE WHEN abs({name}) > 1e6 THEN round({name} / 1e10, 3) ELSE round({name}, 9) END + 0.0 AS {name}"
+
+
+@query(
+    "book_slope_curvature",
+    f""", sl AS (SELECT *, {SB} AS slope_bid_L4, {SA} AS slope_ask_L4, {SA} - {SB} AS slope_asym, {div(div(f"({MID} - bid0)", "bz0"), SB)} AS curv_bid_L1_over_L4, {div(div(f"(ask0 - {MID})", "az0"), SA)} AS curv_ask_L1_over_L4 FROM q)
+    SELECT {IDS}, {", ".join(scaled(n) for n in ("slope_bid_L4", "slope_ask_L4", "slope_asym", "curv_bid_L1_over_L4", "curv_ask_L1_over_L4"))} FROM sl""",
+)
 def _(q):
-    return rounded(book.slope_curvature(q), "slope_bid_L4", "slope_ask_L4", "slope_asym", "curv_bid_L1_over_L4", "curv_ask_L1_over_L4")
+    big = lambda n: (F.when(F.abs(F.col(n)) > 1e6, F.round(F.col(n) / 1e10, 3)).otherwise(F.round(F.col(n), 9)) + F.lit(0.0)).alias(n)
+    return book.slope_curvature(q).select(*ID, *[big(n) for n in ("slope_bid_L4", "slope_ask_L4", "slope_asym", "curv_bid_L1_over_L4", "curv_ask_L1_over_L4")])
 
 
 def churn_sql(p: str) -> str:
     moved = " + ".join(f"abs({p}{i} - lag({p}{i}) OVER w)" for i in range(5))
-    return f"coalesce({div(moved, f'lag({BZ if p == 'bz' else AZ}) OVER w')}, 0)"
+    return div(moved, f"lag({BZ if p == 'bz' else AZ}) OVER w")
+
+
+CHURN = [(f"churn_{n}", f"CASE WHEN abs({e}) > 1e6 THEN round(({e}) / 1e12, 3) ELSE round({e}, 9) END") for n, e in (("bid_L4", churn_sql("bz")), ("ask_L4", churn_sql("az")), ("asym", f"({churn_sql('bz')} - {churn_sql('az')})"))]
 
 
-@query("book_churn", f" SELECT {IDS}, {sql_rounded(('churn_bid_L4', churn_sql('bz')), ('churn_ask_L4', churn_sql('az')))} FROM q WINDOW w AS {OVER_ROW}")
+@query("book_churn", f" SELECT {IDS}, {', '.join(f'coalesce({e}, 0) + 0.0 AS {n}' for n, e in CHURN)} FROM q WINDOW w AS {OVER_ROW}")
 def _(q):
-    return rounded(book.churn(q), "churn_bid_L4", "churn_ask_L4")
+    big = lambda n: (F.when(F.abs(F.col(n)) > 1e6, F.round(F.col(n) / 1e12, 3)).otherwise(F.round(F.col(n), 9)) + F.lit(0.0)).alias(n)
+    return book.churn(q).select(*ID, *[big(n) for n in ("churn_bid_L4", "churn_ask_L4", "churn_asym")])
 
 
-RUN_SQL = f""", s0 AS (SELECT *, sign(bz0 - az0) AS sg FROM q), s1 AS (SELECT *, CASE WHEN coalesce(lag(sg) OVER {OVER_ROW}, 9) <> sg THEN 1 ELSE 0 END AS nw FROM s0),
+#: The rule in words: the sign of all levels' imbalance, 0 where it is missing; a run breaks where the sign changes or is 0.
+RUN_SQL = f""", s0 AS (SELECT *, coalesce(sign(({BZ}) - ({AZ})), 0) AS sg FROM q), s1 AS (SELECT *, CASE WHEN coalesce(lag(sg) OVER {OVER_ROW}, 9) <> sg THEN 1 ELSE 0 END AS nw FROM s0),
  s2 AS (SELECT *, sum(nw) OVER {OVER_ROW} AS grp FROM s1)"""
 
 
@@ -407,7 +441,7 @@ RUN_SQL = f""", s0 AS (SELECT *, sign(bz0 - az0) AS sg FROM q), s1 AS (SELECT *,
     "obi_runlength",
     RUN_SQL
     + f""", s3 AS (SELECT *, CAST(CASE WHEN sg = 0 THEN 0 ELSE row_number() OVER (PARTITION BY {KEYS}, grp ORDER BY row_idx) END AS INT) AS obi_runlen FROM s2)
-    SELECT {IDS}, obi_runlen, round(CASE WHEN obi_runlen >= 5 AND sg <> 0 THEN {div("bz0 - az0", "bz0 + az0")} ELSE 0.0 END, 9) + 0.0 AS obi_persistent FROM s3""",
+    SELECT {IDS}, obi_runlen, round(CASE WHEN obi_runlen >= 5 AND sg <> 0 THEN {div(f"({BZ}) - ({AZ})", f"({BZ}) + ({AZ})")} ELSE 0.0 END, 9) + 0.0 AS obi_persistent FROM s3""",
 )
 def _(q):
     return book.obi_runs(q).select(*ID, F.col("obi_runlen").cast("int").alias("obi_runlen"), r("obi_persistent").alias("obi_persistent"))
@@ -416,53 +450,62 @@ def _(q):
 @query(
     "obi_flicker",
     RUN_SQL
-    + f""", f1_ AS (SELECT *, CASE WHEN sg <> 0 THEN nw ELSE 0 END AS fl FROM s1)
-    SELECT {IDS}, CAST(coalesce(CASE WHEN count(*) OVER w >= 3 THEN sum(fl) OVER w END, 0) AS BIGINT) AS obi_flicker_cnt FROM f1_ WINDOW w AS (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
+    + f""", f0_ AS (SELECT *, lag(sg) OVER {OVER_ROW} AS pv FROM s0), f1_ AS (SELECT *, CASE WHEN sg = 0 THEN 0 WHEN pv IS NULL THEN 1 WHEN pv <> 0 AND pv <> sg THEN 1 ELSE 0 END AS fl FROM f0_)
+    SELECT {IDS}, CAST(coalesce(CASE WHEN count(*) OVER w >= 3 THEN sum(fl) OVER w END, 0) AS BIGINT) AS obi_flicker_cnt, round(coalesce(CASE WHEN count(*) OVER w >= 3 THEN sum(fl) OVER w END, 0) / 10.0, 9) AS obi_flicker_rate FROM f1_ WINDOW w AS (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
 )
 def _(q):
-    return book.obi_flicker(q, 10).select(*ID, F.col("obi_flicker_cnt").cast("long").alias("obi_flicker_cnt"))
+    return book.obi_flicker(q, 10).select(*ID, F.col("obi_flicker_cnt").cast("long").alias("obi_flicker_cnt"), r("obi_flicker_rate").alias("obi_flicker_rate"))
 
 
 def ofi_sql() -> str:
     def side(p: str, z: str, op: str) -> str:
-        return f"CASE WHEN lag({p}) OVER w IS NULL THEN 0 WHEN {p} {op} lag({p}) OVER w THEN {z} WHEN {p} = lag({p}) OVER w THEN {z} - lag({z}) OVER w ELSE -lag({z}) OVER w END"
+        return f"CASE WHEN {p} {op} lag({p}) OVER w THEN {z} WHEN {p} = lag({p}) OVER w THEN {z} - lag({z}) OVER w ELSE -lag({z}) OVER w END"
 
-    cols = ", ".join(f"({side(f'bid{i}', f'bz{i}', '>')}) - ({side(f'ask{i}', f'az{i}', '<')}) AS ofi{i}" for i in range(5))
-    return f", o0 AS (SELECT *, {cols} FROM q WINDOW w AS {OVER_ROW}), o1 AS (SELECT *, CAST({' + '.join(f'ofi{i} * CAST({1.0 / (i + 1)!r} AS DOUBLE)' for i in range(5))} AS DOUBLE) AS iofi FROM o0)"
+    cols = ", ".join(f"({side(f'bid{i}', f'bz{i}', '>')}) - ({side(f'ask{i}', f'az{i}', '<')}) AS raw{i}" for i in range(5))
+    cols += ", " + ", ".join(f"coalesce(raw{i}, 0) AS ofi{i}" for i in range(5))
+    return f", o0 AS (SELECT *, {cols} FROM q WINDOW w AS {OVER_ROW}), o1 AS (SELECT *, CAST({' + '.join(f'raw{i} * CAST({1.0 / (i + 1)!r} AS DOUBLE)' for i in range(5))} AS DOUBLE) AS iofi FROM o0)"
 
 
-@query("book_ofi", ofi_sql() + f" SELECT {IDS}, ofi0, ofi1, ofi2, ofi3, ofi4, round(iofi, 6) + 0.0 AS iofi FROM o1")
+@query("book_ofi", ofi_sql() + f" SELECT {IDS}, ofi0, ofi1, ofi2, ofi3, ofi4, coalesce(round(iofi, 6), 0) + 0.0 AS iofi FROM o1")
 def _(q):
     return book.ofi(q).select(*ID, *[f"ofi{i}" for i in range(5)], r("iofi", 6).alias("iofi"))
 
 
-@query("ofi_rolling_vol", ofi_sql() + f" SELECT {IDS}, round(coalesce(CASE WHEN count(*) OVER w >= 5 THEN stddev_samp(iofi) OVER w END, 0), 6) AS iofi_vol FROM o1 WINDOW w AS (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
+@query("ofi_rolling_vol", ofi_sql() + f" SELECT {IDS}, round(coalesce(CASE WHEN count(iofi) OVER w >= 5 THEN stddev_samp(iofi) OVER w END, 0), 6) AS iofi_vol FROM o1 WINDOW w AS (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
 def _(q):
     return rounded(book.ofi_volatility(q, 10), "iofi_vol", digits=6)
 
 
-@query("ofi_ema_surprise", ofi_sql() + f", em AS (SELECT *, {ewm_sql('iofi', 50)} AS e FROM o1) SELECT {IDS}, round(coalesce(lag(e) OVER w, 0), 6) + 0.0 AS iofi_ema_past, round(iofi - coalesce(lag(e) OVER w, 0), 6) + 0.0 AS iofi_surprise FROM em WINDOW w AS {OVER_ROW}")
+@query("ofi_ema_surprise", ofi_sql() + f", em AS (SELECT *, {ewm_sql('iofi', 50)} AS e FROM o1) SELECT {IDS}, round(lag(e) OVER w, 6) + 0.0 AS iofi_ema_past, coalesce(round(iofi - lag(e) OVER w, 6), 0) + 0.0 AS iofi_surprise FROM em WINDOW w AS {OVER_ROW}")
 def _(q):
     return rounded(book.ofi_surprise(q, 50), "iofi_ema_past", "iofi_surprise", digits=6)
 
 
 @query(
     "ofi_norm_ewm",
-    ofi_sql() + f", d0 AS (SELECT *, greatest(coalesce(acc_volume - lag(acc_volume) OVER {OVER_ROW}, 0), 0) AS dv FROM o1), em AS (SELECT *, {ewm_sql('dv', 200)} AS e FROM d0) SELECT {IDS}, round(iofi / greatest(e, 1.0), 8) + 0.0 AS iofi_norm FROM em",
+    ofi_sql()
+    + f""", d0 AS (SELECT *, greatest(coalesce(acc_volume - lag(acc_volume) OVER {OVER_ROW}, 0), 0) AS dv FROM o1),
+     em AS (SELECT *, greatest({ewm_sql("dv", 200)}, 1.0) + 1e-12 AS by_, {ewm_sql("iofi", 50)} AS e,
+            CASE WHEN count(iofi) OVER v >= 5 THEN stddev_samp(iofi) OVER v END AS sd FROM d0 WINDOW v AS (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+     pa AS (SELECT *, iofi - lag(e) OVER {OVER_ROW} AS su FROM em)
+    SELECT {IDS}, {", ".join(f"coalesce(round(raw{i} / by_, 8), 0) + 0.0 AS ofi_norm_L{i + 1}" for i in range(4))},
+           coalesce(round(iofi / by_, 8), 0) + 0.0 AS iofi_norm, coalesce(round(su / by_, 6), 0) + 0.0 AS iofi_surprise_norm, coalesce(round(sd / by_, 6), 0) + 0.0 AS iofi_vol_norm FROM pa""",
 )
 def _(q):
-    return rounded(book.ofi_normalised(q, 200), "iofi_norm", digits=8)
+    n = book.ofi_normalised(q, 200, vol_rows=10)
+    names = [*(f"ofi_norm_L{i + 1}" for i in range(4)), "iofi_norm"]
+    return n.select(*ID, *[r(c, 8).alias(c) for c in names], *[r(c, 6).alias(c) for c in ("iofi_surprise_norm", "iofi_vol_norm")])
 
 
 def impact_sql(p: str, z: str) -> str:
     cum = lambda i: " + ".join(f"{z}{j}" for j in range(i + 1))
     whole = BZ if z == "bz" else AZ
-    return "CASE " + " ".join(f"WHEN ({whole}) * 50 <= ({cum(i)}) * 100 THEN {p}{i}" for i in range(4)) + f" ELSE {p}4 END"
+    return "CASE " + " ".join(f"WHEN ({whole}) * 50 <= ({cum(i)}) * 100 THEN {p}{i}" for i in range(5)) + " END"
 
 
-@query("impact_sweep", f" SELECT {IDS}, {sql_rounded(('impact_buy_f50', div(f'{impact_sql('ask', 'az')} - {MID}', MID)), ('impact_sell_f50', div(f'{MID} - {impact_sql('bid', 'bz')}', MID)))} FROM q")
+@query("impact_sweep", f" SELECT {IDS}, {sql_rounded(('impact_buy_f50', div(f'{impact_sql('ask', 'az')} - {MID}', MID)), ('impact_sell_f50', div(f'{MID} - {impact_sql('bid', 'bz')}', MID)), ('impact_asym_f50', f"{div(f'{impact_sql('ask', 'az')} - {MID}', MID)} - {div(f'{MID} - {impact_sql('bid', 'bz')}', MID)}"))} FROM q")
 def _(q):
-    return rounded(book.impact(q), "impact_buy_f50", "impact_sell_f50")
+    return rounded(book.impact(q), "impact_buy_f50", "impact_sell_f50", "impact_asym_f50")
 
 
 DT_SQL = f", d0 AS (SELECT *, t_ms - lag(t_ms) OVER {OVER_ROW} AS st FROM q), d1 AS (SELECT *, coalesce(CAST(CASE WHEN st > 0 THEN st END AS DOUBLE), median(CASE WHEN st > 0 THEN st END) OVER (PARTITION BY {KEYS})) AS dt_ms FROM d0)"
@@ -473,13 +516,13 @@ def _(q):
     return rounded(book.time_step(q), "dt_ms", digits=3)
 
 
-VWAP = "(CAST(volume * last_tk AS DOUBLE) / nullif(volume, 0))"
+VWAP = "(CAST(turnover AS DOUBLE) / nullif(volume, 0))"
 
 
 @query(
     "trade_rates_vwap",
     DT_SQL
-    + f""" SELECT {IDS}, {sql_rounded(("vol_rate", "volume * 1000.0 / (dt_ms + 1e-12)"), ("amt_rate", "volume * last_tk * 1000.0 / (dt_ms + 1e-12)"), ("vwap_tick", VWAP), digits=6)},
+    + f""" SELECT {IDS}, {sql_rounded(("vol_rate", "volume * 1000.0 / (dt_ms + 1e-12)"), ("amt_rate", "turnover * 1000.0 / (dt_ms + 1e-12)"), ("vwap_tick", VWAP), digits=6)},
        CAST(volume > 0 AS INT) AS trade_flag, round(CASE WHEN volume > 0 THEN {div(f"{VWAP} - {MID}", MID)} ELSE 0.0 END, 9) + 0.0 AS vwap_dev FROM d1""",
 )
 def _(q):
@@ -489,15 +532,15 @@ def _(q):
 
 @query(
     "illiquidity",
-    f""", pd AS (SELECT *, last_value(mid2 IGNORE NULLS) OVER (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pad FROM q),
-     rm AS (SELECT *, CAST(pad AS DOUBLE) / lag(pad) OVER {OVER_ROW} - 1 AS r_mid FROM pd)
-    SELECT {IDS}, round(r_mid, 9) + 0.0 AS r_mid, round(CASE WHEN volume * last_tk > 0 THEN coalesce(abs(r_mid) / (volume * last_tk), 0) ELSE 0 END * 1e9, 6) AS illiq_e9 FROM rm""",
+    f""", pd AS (SELECT *, last_value({MID} IGNORE NULLS) OVER (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pad FROM q),
+     rm AS (SELECT *, coalesce(pad / nullif(lag(pad) OVER {OVER_ROW}, 0) - 1, 0) AS r_mid FROM pd)
+    SELECT {IDS}, round(r_mid, 9) + 0.0 AS r_mid, round(CASE WHEN turnover > 0 THEN abs(r_mid) / turnover ELSE 0 END * 1e9, 6) AS illiq_e9 FROM rm""",
 )
 def _(q):
     return book.illiquidity(q).select(*ID, r("r_mid").alias("r_mid"), r(F.col("illiq") * 1e9, 6).alias("illiq_e9"))
 
 
-@query("turnover_ratios", SHARES_SQL + f" SELECT {IDS}, round(volume / CAST(shares AS DOUBLE), 12) AS vol_ratio_tick, round(volume * last_tk / ({MID} * shares), 12) AS amt_ratio_tick FROM q JOIN sh USING (stock_code)")
+@query("turnover_ratios", SHARES_SQL + f" SELECT {IDS}, round(volume / CAST(shares AS DOUBLE), 12) AS vol_ratio_tick, round(turnover / nullif({MID} * shares, 0), 12) AS amt_ratio_tick FROM q JOIN sh USING (stock_code)")
 def _(q):
     return rounded(book.turnover_ratios(with_shares(q), F.col("shares")), "vol_ratio_tick", "amt_ratio_tick", digits=12)
 
@@ -511,10 +554,10 @@ BASE_SQL = f""", dd AS (SELECT stock_code, session, date, row_number() OVER (PAR
         FROM dd d JOIN qb h ON d.stock_code = h.stock_code AND d.session = h.session AND h.rk BETWEEN d.rk - 5 AND d.rk - 1 GROUP BY 1, 2, 3, 4)"""
 
 
-@query("bucket_baseline_stats", BASE_SQL + f" SELECT {KEYS}, bucket, n, round(mu, 4) AS mu, round(sigma, 4) AS sigma FROM bs")
+@query("bucket_baseline_stats", BASE_SQL + f" SELECT {KEYS}, bucket, n, round(mu, 8) AS mu, round(sigma, 7) AS sigma FROM bs WHERE n > 0")
 def _(q):
     s = baseline.bucket_stats(q, "f0", 5, 7200)
-    return s.select(*KEY, "bucket", "n", r("mu", 4).alias("mu"), r("sigma", 4).alias("sigma"))
+    return s.select(*KEY, "bucket", "n", r("mu", 8).alias("mu"), r("sigma", 7).alias("sigma"))
 
 
 @query("bucket_baseline_zscore", BASE_SQL + f" SELECT {', '.join('qb.' + x for x in ID)}, round(CASE WHEN n >= 5 THEN coalesce((f0 - mu) / (sigma + 1e-12), 0) ELSE 0 END, 4) + 0.0 AS z FROM qb LEFT JOIN bs USING (stock_code, date, session, bucket)")
@@ -524,7 +567,7 @@ def _(q):
 
 AUDIT_SQL = f""", t AS (SELECT * FROM q WHERE {SPLIT_SQL} = 'train'), u AS (SELECT stock_code, 'f0' AS factor, abs(f0) AS x FROM t UNION ALL SELECT stock_code, 'f1', abs(f1) FROM t UNION ALL SELECT stock_code, 'f2', abs(f2) FROM t),
  qu AS (SELECT stock_code, factor, quantile_cont(CAST(x AS DOUBLE), 0.9) AS q FROM u WHERE x IS NOT NULL GROUP BY 1, 2),
- ra AS (SELECT factor, count(*) AS stocks, max(q) / min(q) AS ratio, abs(ln(max(q) / min(q))) AS dispersion FROM qu WHERE q > 0 GROUP BY 1)"""
+ ra AS (SELECT factor, count(*) AS stocks, max(q) / min(q) AS ratio, abs(ln(max(q) / min(q))) AS dispersion FROM (SELECT stock_code, factor, greatest(q, 1e-12) AS q FROM qu) GROUP BY 1)"""
 
 
 def train_rows(q: DataFrame) -> DataFrame:
@@ -537,17 +580,44 @@ def _(q):
     return a.select("factor", "stocks", r("ratio").alias("ratio"), r("dispersion").alias("dispersion"))
 
 
-@query(
-    "scale_audit_method",
-    AUDIT_SQL
-    + """, alt AS (SELECT stock_code, factor, quantile_cont(CAST(x AS DOUBLE), 0.5) AS q FROM u WHERE x IS NOT NULL GROUP BY 1, 2),
-      rv AS (SELECT factor, abs(ln(max(q) / min(q))) AS dv FROM alt WHERE q > 0 GROUP BY 1)
-    SELECT factor, CASE WHEN ratio <= 1.01 THEN 'raw' WHEN dispersion < dv THEN 'mcap_norm' WHEN dv IS NOT NULL THEN 'volume_norm' ELSE 'mcap_norm' END AS method FROM ra LEFT JOIN rv USING (factor)""",
+#: The audit by its definition: ratios of raw and of both normalised factors; the closest normalisation within tolerance, else none.
+METHOD_SQL = (
+    DV_SQL
+    + SHARES_SQL
+    + f""", em AS (SELECT dv.*, shares, greatest({ewm_sql("dv", 200)}, 1.0) AS by_volume, greatest(coalesce(bid_tk + ask_tk, 2 * last_tk) / 20000.0 * shares, 1.0) AS by_value FROM dv JOIN sh USING (stock_code)),
+ lg AS (SELECT stock_code, n AS method, f AS factor, abs(CASE f WHEN 'f0' THEN f0 WHEN 'f1' THEN f1 ELSE f2 END) / CASE n WHEN 'raw' THEN 1.0 WHEN 'volume_norm' THEN by_volume ELSE by_value END AS x
+        FROM em, (VALUES ('f0'), ('f1'), ('f2')) a(f), (VALUES ('raw'), ('volume_norm'), ('mcap_norm')) b(n) WHERE {SPLIT_SQL} = 'train'),
+ qs AS (SELECT stock_code, method, factor, greatest(quantile_cont(CAST(x AS DOUBLE), 0.9), 1e-12) AS q FROM lg WHERE x IS NOT NULL GROUP BY 1, 2, 3),
+ rt AS (SELECT method, factor, max(q) / min(q) AS ratio FROM qs GROUP BY 1, 2)"""
 )
-def _(q):
+
+
+def audited(q: DataFrame) -> dict[str, DataFrame]:
     names = ["f0", "f1", "f2"]
-    raw = baseline.scale_ratio(baseline.factor_quantiles(train_rows(q), names, 0.9))
-    return baseline.best_method(raw, baseline.scale_ratio(baseline.factor_quantiles(train_rows(q), names, 0.5)), raw, 1.01)
+    both = features.with_volume_mean(with_shares(q), 200).withColumn("value_", features.market_value(F.col("shares"), price.audit_mid2(F.col("bid_tk"), F.col("ask_tk"), F.col("last_tk")), strict=False))
+    both = train_rows(both.withColumn("value_", F.coalesce("value_", F.lit(1.0))))
+    by = {"raw": F.lit(1.0), "volume_norm": F.col("volume_mean"), "mcap_norm": F.col("value_")}
+    return {m: baseline.scale_ratio(baseline.factor_quantiles(both.select("stock_code", *[(F.col(c) / d).alias(c) for c in names]), names, 0.9)) for m, d in by.items()}
+
+
+@query("scale_audit_report", METHOD_SQL + " SELECT method, factor, round(ratio, 6) AS ratio FROM rt")
+def _(q):
+    out = None
+    for m, a in audited(q).items():
+        a = a.select(F.lit(m).alias("method"), "factor", r("ratio", 6).alias("ratio"))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+def method_sql(tolerance: float) -> str:
+    return f""", ok_ AS (SELECT factor, method, ratio, row_number() OVER (PARTITION BY factor ORDER BY method <> 'raw', ratio, method <> 'volume_norm') AS place FROM rt WHERE ratio <= {tolerance})
+    SELECT factor, coalesce(method, 'none') AS method, {tolerance} AS tolerance FROM (SELECT DISTINCT factor FROM rt) LEFT JOIN (SELECT * FROM ok_ WHERE place = 1) USING (factor)"""
+
+
+@query("scale_audit_method", METHOD_SQL + method_sql(1.02))
+def _(q):
+    a = audited(q)
+    return baseline.best_method(a["raw"], a["volume_norm"], a["mcap_norm"], 1.02).withColumn("tolerance", F.lit("1.02").cast("decimal(3,2)"))
 
 
 # ---------------------------------------------------------------------------------------
@@ -560,11 +630,30 @@ def predicted(q: DataFrame) -> DataFrame:
     return labelled(q).withColumn("pred", F.when(F.col("event_id") % 13 != 0, F.col("pred_m")))
 
 
-@query("align_predictions", PRED_SQL + f" SELECT {KEYS}, row_idx AS end_row, pred, invalid_reason = 0 AS is_valid, true AS aligned FROM pr WHERE pred IS NOT NULL")
+def bundle(q: DataFrame) -> DataFrame:
+    return predicted(q).where("pred is not null").select(*KEY, F.col("row_idx").alias("end_row"), "t_ms", "pred")
+
+
+@query("align_predictions", PRED_SQL + f" SELECT {KEYS}, row_idx AS end_row, pred, r_raw, invalid_reason = 0 AS is_valid FROM pr WHERE pred IS NOT NULL")
+def _(q):
+    return evaluate.align(bundle(q), labelled(q)).select(*KEY, "end_row", "pred", "r_raw", "is_valid")
+
+
+@query(
+    "alignment_problems",
+    f""", p AS (SELECT {KEYS}, CASE WHEN event_id % 53 = 0 THEN row_idx + 1000000 ELSE row_idx END AS end_row, CASE WHEN event_id % 50 = 0 THEN t_ms + 1 WHEN event_id % 59 <> 0 THEN t_ms END AS t, event_id FROM q WHERE event_id % 13 <> 0),
+     d AS (SELECT * FROM p UNION ALL SELECT * FROM p WHERE event_id % 61 = 0)
+    SELECT DISTINCT {KEYS}, end_row, CASE WHEN event_id % 61 = 0 THEN 'repeated' WHEN event_id % 53 = 0 THEN 'row' ELSE 'time' END AS problem FROM d WHERE event_id % 61 = 0 OR event_id % 53 = 0 OR event_id % 50 = 0 OR event_id % 59 = 0""",
+)
+def _(q):
+    i = F.col("event_id")
+    p = q.where(i % 13 != 0).select(*KEY, F.when(i % 53 == 0, F.col("row_idx") + 1_000_000).otherwise(F.col("row_idx")).alias("end_row"), F.when(i % 50 == 0, F.col("t_ms") + 1).when(i % 59 != 0, F.col("t_ms")).alias("t_ms"), "event_id")
+    return evaluate.alignment_problems(p.unionByName(p.where(i % 61 == 0)), q)
+
+
+@query("timeline_predictions", f" SELECT {IDS}, CASE WHEN event_id % 13 <> 0 THEN pred_m END AS pred FROM q")
 def _(q):
-    p = predicted(q)
-    preds = p.where("pred is not null").select(*KEY, F.col("row_idx").alias("end_row"), "t_ms", "pred")
-    return evaluate.align(preds, p).select(*KEY, "end_row", "pred", "is_valid", "aligned")
+    return evaluate.on_timeline(q, bundle(q)).select(*ID, "pred")
 
 
 def corr_sql(x: str, y: str) -> str:
@@ -602,17 +691,17 @@ def _(q):
 
 
 def events_sql(side: str, cond: str, sign: int) -> str:
-    return f"""SELECT '{side}' AS side, count(*) AS events, round(avg(n), 6) AS mean_rows, round(avg(m), 9) + 0.0 AS mean_return FROM (
-      SELECT avg(r_raw) * {sign} AS m, count(*) AS n FROM (SELECT *, row_idx - row_number() OVER {OVER_ROW} AS g FROM ev, th WHERE {cond}) GROUP BY {KEYS}, g)"""
+    return f"SELECT '{side}' AS side, avg(r_raw) * {sign} AS m, count(*) AS n FROM (SELECT *, row_idx - row_number() OVER {OVER_ROW} AS g FROM ev, th WHERE {cond}) GROUP BY {KEYS}, g"
 
 
 TH_SQL = ", th AS (SELECT quantile_cont(pred, 0.8) AS hi_t, quantile_cont(pred, 0.2) AS lo_t FROM ev)"
+TOP_SQL = f", es AS ({events_sql('long', 'pred > hi_t', 1)} UNION ALL {events_sql('short', 'pred < lo_t', -1)}), ec AS (SELECT * FROM es UNION ALL SELECT 'combined', m, n FROM es)"
 
 
-@query("topk_events", PRED_SQL + TH_SQL + f" {events_sql('long', 'pred > hi_t', 1)} UNION ALL {events_sql('short', 'pred < lo_t', -1)}")
+@query("topk_events", PRED_SQL + TH_SQL + TOP_SQL + " SELECT side, count(*) AS events, round(avg(n), 6) AS mean_rows, round(avg(m), 9) + 0.0 AS mean_return, round(avg(m) - 0.001, 9) + 0.0 AS net_return FROM ec GROUP BY side")
 def _(q):
     ev = predicted(q).where("pred is not null and r_raw is not null")
-    return evaluate.top_events(ev, 0.2).select("side", "events", r("mean_rows", 6).alias("mean_rows"), r("mean_return").alias("mean_return"))
+    return evaluate.top_events(ev, 0.2, 0.001).select("side", "events", r("mean_rows", 6).alias("mean_rows"), r("mean_return").alias("mean_return"), r("net_return").alias("net_return"))
 
 
 XY_SQL = PRED_SQL + ", xy AS (SELECT pred / 100000.0 AS x, r_raw AS y, 1 + event_id % 3 AS w FROM ev)"
@@ -699,14 +788,23 @@ def _(q):
     return backtest.segments(held(q))
 
 
-PNL_SQL = SEG_SQL + """, pl AS (SELECT *, direction * (exit_tk - entry_tk) / CAST(entry_tk AS DOUBLE) AS gross,
-   0.0002 + CASE WHEN direction < 0 THEN 0.0005 ELSE 0 END + (0.0002 + CASE WHEN direction > 0 THEN 0.0005 ELSE 0 END) * exit_tk / CAST(entry_tk AS DOUBLE) AS cost FROM seg WHERE terminal_ok),
+BAD_SQL = f""", bad AS (SELECT {KEYS}, row_idx, 'open at the end' AS problem FROM lr WHERE row_idx = last_row AND before <> 0 AND NOT ok)"""
+
+
+@query("segment_problems", SEG_SQL + BAD_SQL + f" SELECT {IDS}, problem FROM bad")
+def _(q):
+    return backtest.segment_problems(held(q)).select(*ID, "problem")
+
+
+PNL_SQL = SEG_SQL + BAD_SQL + """, pl AS (SELECT *, direction * (exit_tk - entry_tk) / CAST(entry_tk AS DOUBLE) AS gross,
+   0.0002 + CASE WHEN direction < 0 THEN 0.0005 ELSE 0 END + (0.0002 + CASE WHEN direction > 0 THEN 0.0005 ELSE 0 END) * exit_tk / CAST(entry_tk AS DOUBLE) AS cost FROM seg s WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.stock_code = s.stock_code AND b.date = s.date AND b.session = s.session)),
  dy AS (SELECT date, sum(gross - cost) AS net, sum(gross) AS gross, sum(cost) AS cost, count(*) AS trades FROM pl GROUP BY date),
  cu AS (SELECT *, sum(net) OVER (ORDER BY date) AS cumulative_net FROM dy)"""
 
 
 def traded(q: DataFrame) -> DataFrame:
-    return backtest.profit(backtest.segments(held(q)).where("terminal_ok"))
+    """Trades of the sessions that can be closed; the others are what segment_problems reports."""
+    return backtest.profit(backtest.segments(backtest.tradable(held(q), skip=True)))
 
 
 @query("trade_pnl", PNL_SQL + f" SELECT {KEYS}, entry_row, {sql_rounded(('gross', 'gross'), ('cost', 'cost'), ('net', 'gross - cost'))} FROM pl")
@@ -746,12 +844,12 @@ def _(q):
 
 @query(
     "dt_sample_stats",
-    f""", st AS (SELECT *, t_ms - lag(t_ms) OVER {OVER_ROW} AS d FROM q WHERE row_idx < 40),
+    f""", st AS (SELECT *, t_ms - lag(t_ms) OVER {OVER_ROW} AS d FROM q WHERE row_idx < {SAMPLE}),
      ag AS (SELECT {KEYS}, count(*) AS stamps, list_sort(list(d) FILTER (d > 0)) AS ds FROM st GROUP BY {KEYS})
     SELECT {KEYS}, CAST(len(ds) AS INT) AS n, ds[len(ds) // 2 + 1] AS median_ms, ds[CAST(floor(0.99 * (len(ds) - 1)) AS INT) + 1] AS p99_ms FROM ag WHERE stamps >= 3 AND len(ds) > 0""",
 )
 def _(q):
-    return catalog.dt_sample(q, 40)
+    return catalog.dt_sample(q, SAMPLE)
 
 
 PRESENT_SQL = f", have AS (SELECT DISTINCT {KEYS} FROM q WHERE NOT (stock_code = (SELECT min(stock_code) FROM q) AND date LIKE '%7'))"
@@ -779,16 +877,27 @@ def _(q):
     return catalog.calendar_history(q, 5)
 
 
-@query("positional_merge", " SELECT stock_code || '/' || date AS file, row_idx, b, event_id, t_ms AS b_txt0 FROM q")
+@query("positional_merge", " SELECT stock_code || '/' || date AS file, row_idx, b, event_id, t_ms AS b_txt1 FROM q")
 def _(q):
     f = q.withColumn("file", F.concat_ws("/", "stock_code", "date"))
-    return catalog.positional_merge(f.select("file", "row_idx", "b"), f.select("file", "row_idx", F.col("t_ms").alias("b"), "event_id")).select("file", "row_idx", "b", "event_id", "b_txt0")
+    return catalog.positional_merge(f.select("file", "row_idx", "b"), f.select("file", "row_idx", F.col("t_ms").alias("b"), "event_id")).select("file", "row_idx", "b", "event_id", "b_txt1")
 
 
-@query("bundle_problems", f", p AS (SELECT {KEYS}, CASE WHEN event_id % 97 = 0 THEN 'pred' END AS problem FROM q) SELECT DISTINCT {KEYS}, problem FROM p WHERE problem IS NOT NULL")
+@query(
+    "bundle_problems",
+    f""", p0 AS (SELECT {KEYS}, row_idx AS place, CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 89 = 0 THEN row_idx - 1 ELSE row_idx END AS end_row,
+        CASE WHEN event_id % 103 <> 0 THEN t_ms END AS t, CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 107 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE pred_m END AS pred FROM q),
+     p AS (SELECT *, lag(end_row) OVER w AS pr, lag(t) OVER w AS pt FROM p0 WINDOW w AS (PARTITION BY {KEYS} ORDER BY place))
+    SELECT DISTINCT {KEYS}, 'end_row' AS problem FROM p WHERE end_row IS NULL OR end_row < 0 UNION SELECT {KEYS}, 'order' FROM p WHERE pr >= end_row
+    UNION SELECT {KEYS}, 'pred' FROM p WHERE pred IS NULL OR NOT isfinite(pred) UNION SELECT {KEYS}, 'time' FROM p WHERE t IS NULL OR pt > t""",
+)
 def _(q):
-    p = q.select(*KEY, F.col("row_idx").alias("end_row"), "t_ms", F.when(F.col("event_id") % 97 != 0, F.col("pred_m")).alias("pred"))
-    return catalog.check_bundle(p)
+    i = F.col("event_id")
+    p = q.select(
+        *KEY, F.col("row_idx").alias("place"), F.when(i % 101 == 0, None).when(i % 89 == 0, F.col("row_idx") - 1).otherwise(F.col("row_idx")).alias("end_row"),
+        F.when(i % 103 != 0, F.col("t_ms")).alias("t_ms"), F.when(i % 97 == 0, None).when(i % 107 == 0, float("inf")).otherwise(F.col("pred_m").cast("double")).alias("pred"),
+    )
+    return catalog.check_bundle(p, "place")
 
 
 # ---------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Quote sessions seen in the driver's ``events`` table: integer ticks of 1e-4, five book levels.
 
 A session is (stock_code, date, session); its rows keep their own order in ``row_idx``. All
-prices are whole ticks, so sums are exact on any engine and in any order.
+prices are whole ticks, so sums are exact on any engine and in any order. Some rows lack the best bid
+or ask, and some have an empty book; ``turnover`` is the traded amount in ticks.
 """
 
 from __future__ import annotations
@@ -45,12 +46,13 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
             "last_tk": F.when(i % 62 == 0, 0).otherwise(F.col("b") + 55),
             "pred_m": (i * 37) % 1001 - 500,
             "volume": (F.col("k") % 5) * 100,
-            **{f"bid{n}": F.col("b") - 100 * n for n in range(LEVELS)},
-            **{f"ask{n}": F.col("b") + 110 + 100 * n for n in range(LEVELS)},
-            **{f"bz{n}": 100 + (i * 7 + n * 13) % 50 for n in range(LEVELS)},
-            **{f"az{n}": 100 + (i * 11 + n * 17) % 50 for n in range(LEVELS)},
+            **{f"bid{n}": F.when(i % 37 != 0 if n == 0 else F.lit(True), F.col("b") - 100 * n) for n in range(LEVELS)},
+            **{f"ask{n}": F.when(i % 41 != 0 if n == 0 else F.lit(True), F.col("b") + 110 + 100 * n) for n in range(LEVELS)},
+            **{f"bz{n}": F.when(i % 43 == 0, 0).otherwise(100 + (i * 7 + n * 13) % 50) for n in range(LEVELS)},
+            **{f"az{n}": F.when(i % 43 == 0, 0).otherwise(100 + (i * 11 + n * 17) % 50) for n in range(LEVELS)},
         }
     )
+    q = q.withColumn("turnover", F.col("volume") * (F.col("b") + 40 + i % 31))
     order = Window.partitionBy(*KEY).orderBy("t_ms", "event_id")
     q = q.withColumn("row_idx", (F.row_number().over(order) - 1).cast("long"))
     q = q.withColumn("acc_volume", F.sum("volume").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -76,9 +78,10 @@ e0 AS (
   SELECT *, CASE WHEN event_id % 31 = 0 THEN 0 WHEN event_id % 29 = 0 THEN b + 110 ELSE b END AS bid_tk,
          CASE WHEN event_id % 31 = 0 THEN 0 WHEN event_id % 29 = 0 THEN b ELSE b + 110 END AS ask_tk,
          CASE WHEN event_id % 62 = 0 THEN 0 ELSE b + 55 END AS last_tk,
-         (event_id * 37) % 1001 - 500 AS pred_m, (k % 5) * 100 AS volume,
+         (event_id * 37) % 1001 - 500 AS pred_m, (k % 5) * 100 AS volume, (k % 5) * 100 * (b + 40 + event_id % 31) AS turnover,
 """ + ",\n".join(
-    f"         b - {100 * n} AS bid{n}, b + {110 + 100 * n} AS ask{n}, 100 + (event_id * 7 + {13 * n}) % 50 AS bz{n}, 100 + (event_id * 11 + {17 * n}) % 50 AS az{n}"
+    f"         CASE WHEN {'event_id % 37 <> 0' if n == 0 else 'true'} THEN b - {100 * n} END AS bid{n}, CASE WHEN {'event_id % 41 <> 0' if n == 0 else 'true'} THEN b + {110 + 100 * n} END AS ask{n}, "
+    f"CASE WHEN event_id % 43 = 0 THEN 0 ELSE 100 + (event_id * 7 + {13 * n}) % 50 END AS bz{n}, CASE WHEN event_id % 43 = 0 THEN 0 ELSE 100 + (event_id * 11 + {17 * n}) % 50 END AS az{n}"
     for n in range(LEVELS)
 ) + """
   FROM e0

@@ -51,9 +51,10 @@ def read_sessions(spark: SparkSession, paths: Sequence[str] | str, columns: Sequ
 
 
 def read_text_columns(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """(file, row_idx, names) of white-space separated text; another number of fields fails."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("row_idx", "line"))
-    cells = F.split(F.trim("line"), r"\s+")
+    """(file, row_idx, names) of white-space separated text; blank lines don't count, another number of fields fails."""
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("row_idx", "line"))
+    cells = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
     width = F.when(F.size(cells) != len(names), F.raise_error(F.concat(F.lit("fields in "), F.col("file"))).cast("string"))
     return raw.select("file", F.col("row_idx").cast("long"), *[F.coalesce(width, F.element_at(cells, i + 1)).try_cast("double").alias(n) for i, n in enumerate(names)])
 
