@@ -158,11 +158,11 @@ WITH d AS (
 ), s AS (
   SELECT source, sum(size) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM d GROUP BY source
 ), f AS (
-  SELECT a.source_size * 3 / a.w AS at, (SELECT sum(least(b.source_size * 3, a.source_size * 3 / a.w * b.w)) FROM s b) AS holds FROM s a
+  SELECT a.source_size * 3 / a.w AS edge, (SELECT sum(least(b.source_size * 3, a.source_size * 3 / a.w * b.w)) FROM s b) AS holds FROM s a
 ), lowest AS (
-  SELECT min(at) AS at FROM f WHERE holds >= (SELECT sum(source_size) FROM s)
+  SELECT min(edge) AS edge FROM f WHERE holds >= (SELECT sum(source_size) FROM s)
 ), level AS (
-  SELECT (CAST((SELECT sum(source_size) FROM s) - coalesce(sum(source_size * 3) FILTER (source_size * 3 / w < at), 0) AS DOUBLE) / CAST(sum(w) FILTER (source_size * 3 / w >= at) AS DOUBLE)) AS level FROM s, lowest
+  SELECT (CAST((SELECT sum(source_size) FROM s) - coalesce(sum(source_size * 3) FILTER (WHERE source_size * 3 / w < edge), 0) AS DOUBLE) / CAST(sum(w) FILTER (WHERE source_size * 3 / w >= edge) AS DOUBLE)) AS level FROM s, lowest
 ), t AS (
   SELECT source, CAST(source_size AS BIGINT) AS source_size, least(level * w, CAST(source_size * 3 AS DOUBLE)) AS target FROM s, level
 ), p AS (
