@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.quotes import KEY, by_row
+from .quantiles import quantiles
 from .windows import average_rank
 
 
@@ -67,7 +68,7 @@ def ic_summary(ics: DataFrame, column: str = "ic") -> DataFrame:
 
 def thresholds(df: DataFrame, top_long: float, top_short: float, column: str = "pred") -> DataFrame:
     """One row (thr_long, thr_short): exact linear quantiles."""
-    return df.agg(F.percentile(column, F.lit(1 - top_long)).alias("thr_long"), F.percentile(column, F.lit(top_short)).alias("thr_short"))
+    return quantiles(df, F.col(column), {"thr_long": 1 - top_long, "thr_short": top_short}).select("thr_long", "thr_short")
 
 
 def top_events(df: DataFrame, top: float, cost: float = 0.0) -> DataFrame:
@@ -99,8 +100,8 @@ def regression_metrics(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def top_abs(df: DataFrame, fraction: float) -> DataFrame:
     """Rows whose |x| reaches its 1 - fraction quantile (inclusive)."""
-    t = F.broadcast(df.agg(F.percentile(F.abs("x"), F.lit(1 - fraction)).alias("t_")))
-    return df.join(t).where(F.abs(F.col("x")) >= F.col("t_")).drop("t_")
+    t = quantiles(df, F.abs("x"), {"t_": 1 - fraction}).select("t_")
+    return df.join(F.broadcast(t)).where(F.abs(F.col("x")) >= F.col("t_")).drop("t_")
 
 
 def weighted_metrics(df: DataFrame) -> DataFrame:

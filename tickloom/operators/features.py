@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.price import reference_mid2
 from ..sources.quotes import by_row
+from .quantiles import quantiles
 from .windows import ewm
 
 
 def label_quantiles(df: DataFrame, label: str = "r_raw", eps: float = 1e-12, least: int = 1000) -> DataFrame:
     """One row: n, q90, q99, q100 of |label| with floors q90 >= eps, q99 >= q90, q100 >= q99; enough = n >= least."""
-    x = F.abs(label)
-    p = df.agg(F.count(label).alias("n"), F.percentile(x, F.lit(0.9)).alias("q90"), F.percentile(x, F.lit(0.99)).alias("q99"), F.max(x).alias("q100"))
+    p = quantiles(df, F.abs(label), {"q90": 0.9, "q99": 0.99}).withColumnRenamed("most", "q100")
     q90 = F.greatest("q90", F.lit(eps))
     q99 = F.greatest("q99", q90)
     return p.select("n", q90.alias("q90"), q99.alias("q99"), F.greatest("q100", q99).alias("q100"), (F.col("n") >= least).alias("enough"))
