@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock, model_inputs, price
-from tickloom.operators import backtest, baseline, book, catalog, contract, evaluate, features, windows
+from tickloom.operators import backtest, baseline, book, catalog, contract, evaluate, features, pack, quantiles, windows
 from tickloom.sources import session_files
 
 K = "stock_code string, date string, session int, row_idx long"
@@ -175,3 +175,53 @@ def test_text_files_skip_blank_lines(spark, tmp_path):
     assert session_files.read_json_lines(spark, str(tmp_path / "j"), "a int, b int, c int").collect() == df.collect()
     digest = contract.file_digests(spark, [str(tmp_path / "a.txt")]).first()
     assert digest.length == 12 and len(digest.sha256) == 64
+
+
+@pytest.mark.parametrize("values", [[1e-4, -2e-4, 0.0, -0.0, 5e-324, 1e300, -1e300, 3.0], [2.0], [1.0 + i * 2.0**-52 for i in range(500)], [float(i % 7 - 3) for i in range(1000)], []])
+def test_quantiles_are_exact(spark, values):
+    df = spark.createDataFrame([(x,) for x in [*values, None, float("nan")]], "x double")
+    got = quantiles.quantiles(df, F.col("x"), {"a": 0.05, "b": 0.5, "c": 1.0}).first()
+    want = []
+    for q in (0.05, 0.5, 1.0) if values else ():
+        low = math.floor(pos := q * (len(values) - 1))
+        s = sorted(values)
+        want.append(s[low] + (s[math.ceil(pos)] - s[low]) * (pos - low))
+    assert got.n == len(values) and [got.a, got.b, got.c] == (want or [None] * 3)
+
+
+def test_sessions_must_match_one_to_one(spark):
+    one = spark.createDataFrame([("s", "d", 1), ("s", "d", 2)], "stock_code string, date string, session int")
+    assert pack.join_sessions(one, one.withColumn("n", F.lit(1))).count() == 2
+    with pytest.raises(ValueError, match="without labels"):
+        pack.join_sessions(one, one.where("session = 1").withColumn("n", F.lit(1)))
+    with pytest.raises(ValueError, match="repeat in the index"):
+        pack.join_sessions(one, one.union(one).withColumn("n", F.lit(1)))
+
+
+def test_preprocessing_fills_before_it_divides(spark):
+    df = frame(spark, [(None, 0, 100, 100, 100), (8.0, 4, 100, 100, 100), (None, 12, None, 100, 100)], "f double, acc_volume long, bid_tk long, ask_tk long, last_tk long")
+    plain = pack.preprocess(df, contract.FeatureContract(("f",)))
+    assert [x.f for x in plain.orderBy("row_idx").collect()] == [0.0, 8.0, 8.0]
+    by_volume = pack.preprocess(df, contract.FeatureContract(("f",), volume_norm=("f",), ema_span=2))
+    assert all(math.isclose(a, b) for a, b in zip([x.f for x in by_volume.orderBy("row_idx").collect()], [0.0, 8 / (8 / 3), 8 / (56 / 9)], strict=True))
+    by_value = pack.preprocess(df, contract.FeatureContract(("f",), mcap_norm=("f",), shares={"s": 1e6}))
+    assert all(math.isclose(a, b) for a, b in zip([x.f for x in by_value.orderBy("row_idx").collect()], [0.0, 8e-4, 8e-4], strict=True))
+    with pytest.raises(Exception, match="float shares"):
+        pack.preprocess(df, contract.FeatureContract(("f",), mcap_norm=("f",), shares={"other": 1e6})).collect()
+
+
+def test_configuration_names_every_fault():
+    rules = {"batch": contract.Rule(int, least=1), "rate": contract.Rule(float, above=0, most=1), "mode": contract.Rule(str, among=("a", "b")), "note": contract.Rule(str, optional=True)}
+    good = {"batch": 4, "rate": 0.5, "mode": "a", "train": ["2024-01-01", "2024-01-20"], "test": ["2024-01-21", "2024-01-30"], "out": {"x": "made/x", "y": "made/y"}}
+    dates, places = ("train", "test"), ("out.x", "out.y")
+    assert contract.config_problems(good, rules, dates, places) == []
+    bad = {"batch": True, "rate": 0, "train": ["2024-01-01", "2024-02-30"], "test": ["2024-01-21", "2024-01-20"], "out": {"x": "made", "y": "made/./y"}}
+    assert contract.config_problems(bad, rules, dates, places) == [
+        "batch must be int", "rate must be above 0", "mode is missing", "train must be two dates", "test ends before it starts", "out.y shares a place with out.x",
+    ]
+    overlap = {**good, "test": ["2024-01-20", "2024-01-30"]}
+    assert contract.config_problems(overlap, rules, dates) == ["test starts before the one before it ends"]
+    read = contract.checked('{"batch": 1, "rate": 1, "mode": "b", "out": {"x": "../made"}}', "/base/dir", rules, paths=("out.x",))
+    assert read["out"]["x"] == "/base/made"
+    with pytest.raises(ValueError, match="batch must be 1 or more; rate"):
+        contract.checked('{"batch": 0, "rate": 2, "mode": "b"}', "/", rules)

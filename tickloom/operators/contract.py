@@ -5,7 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from datetime import date
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +111,8 @@ def problems(contract: LabelContract) -> list[str]:
         out.append("the horizon must be positive and ordered")
     if contract.min_future < 1:
         out.append("min_future must be 1 or more")
+    if not (math.isfinite(contract.scale) and contract.scale > 0):
+        out.append("scale must be finite and positive")
     if not 0 < contract.clip_quantile <= 1:
         out.append("clip_quantile must be in (0, 1]")
     last = ""
@@ -115,3 +121,91 @@ def problems(contract: LabelContract) -> list[str]:
             out.append(f"split {name} is out of order or overlaps")
         last = b
     return out
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a setting must be: its type, inclusive or open bounds, allowed values."""
+
+    kind: type
+    least: float | None = None
+    most: float | None = None
+    above: float | None = None
+    among: tuple = ()
+    optional: bool = False
+
+    def fault(self, value) -> str | None:
+        number = self.kind in (int, float)
+        if number and isinstance(value, bool) or not isinstance(value, (int, float) if self.kind is float else self.kind):
+            return f"must be {self.kind.__name__}"
+        if number and not math.isfinite(value):
+            return "must be finite"
+        if self.least is not None and value < self.least:
+            return f"must be {self.least} or more"
+        if self.most is not None and value > self.most:
+            return f"must be {self.most} or less"
+        if self.above is not None and value <= self.above:
+            return f"must be above {self.above}"
+        if self.among and value not in self.among:
+            return f"must be one of {list(self.among)}"
+        return None
+
+
+def setting(config: dict, path: str):
+    """The value at a dotted path; KeyError where there is none."""
+    for part in path.split("."):
+        if not isinstance(config, dict) or part not in config:
+            raise KeyError(path)
+        config = config[part]
+    return config
+
+
+def config_problems(config: dict, rules: dict[str, Rule], chronology: Sequence[str] = (), distinct: Sequence[str] = ()) -> list[str]:
+    """All faults of a configuration, in the order of the rules.
+
+    ``chronology`` lists the paths of [first, last] date pairs (YYYY-MM-DD) that must follow one another
+    without overlap; ``distinct`` the paths of outputs that must not share a place or lie in one another.
+    """
+    out = []
+    for path, rule in rules.items():
+        try:
+            if fault := rule.fault(setting(config, path)):
+                out.append(f"{path} {fault}")
+        except KeyError:
+            if not rule.optional:
+                out.append(f"{path} is missing")
+    last = None
+    for path in chronology:
+        try:
+            first, until = (date.fromisoformat(x) for x in setting(config, path))
+        except (KeyError, TypeError, ValueError):
+            out.append(f"{path} must be two dates")
+            continue
+        if first > until:
+            out.append(f"{path} ends before it starts")
+        if last is not None and first <= last:
+            out.append(f"{path} starts before the one before it ends")
+        last = until
+    places = []
+    for path in distinct:
+        try:
+            place = PurePosixPath(os.path.normpath(setting(config, path)))
+        except (KeyError, TypeError):
+            out.append(f"{path} must be a path")
+            continue
+        if clash := [p for p, other in places if place == other or place in other.parents or other in place.parents]:
+            out.append(f"{path} shares a place with {clash[0]}")
+        places.append((path, place))
+    return out
+
+
+def checked(text: str, base: str, rules: dict[str, Rule], chronology: Sequence[str] = (), distinct: Sequence[str] = (), paths: Sequence[str] = ()) -> dict:
+    """The configuration in ``text``, strictly read, with the settings named in ``paths`` made absolute from ``base``; fails with all faults."""
+    config = load_json(text)
+    if faults := config_problems(config, rules, chronology, distinct):
+        raise ValueError("; ".join(faults))
+    for path in paths:
+        *above, last = path.split(".")
+        owner = setting(config, ".".join(above)) if above else config
+        owner[last] = os.path.normpath(os.path.join(base, os.path.expanduser(owner[last])))
+    return config

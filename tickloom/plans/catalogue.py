@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, model_inputs, price
-from ..operators import backtest, baseline, book, catalog, compare, evaluate, features
+from ..operators import backtest, baseline, book, catalog, compare, contract, evaluate, features, pack
 from ..operators import windows as win
 from ..sources.quotes import KEY, QUOTES_SQL, quotes
 
@@ -942,3 +942,72 @@ def _(q):
     lab = labelled(q).where("r_raw is not null")
     m = compare.compare_sets(lab, {"a": ["f0"], "b": ["f2"]}, "r_raw", clock.split_of(F.col("date"), SPLITS) == "train")
     return m.select("factor_set", "n", r(F.col("mse") * 1e6, 4).alias("mse_e6"), r("mae", 7).alias("mae"), r("pearson", 4).alias("pearson"))
+
+# ---------------------------------------------------------------------------------------
+# Packing and reports
+
+PACK_SQL = (
+    TRAIN_SQL
+    + DV_SQL
+    + f""", em AS (SELECT *, {ewm_sql('dv', 20)} AS e, coalesce(last_value(f0 IGNORE NULLS) OVER w, 0) AS p0, coalesce(last_value(f1 IGNORE NULLS) OVER w, 0) AS p1
+      FROM dv WINDOW w AS (PARTITION BY {KEYS} ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+    + ELIGIBLE_SQL
+    + f""", pk AS (SELECT ok_.stock_code, ok_.date, ok_.session, ok_.row_idx, p0 / greatest(e, 1.0) AS f0, p1 AS f1, r_raw,
+      CASE WHEN r_raw IS NULL THEN 0.0 ELSE least(greatest(1 + least(greatest(abs(r_raw) / q90, 0.0), 3.0), 0.5), 4.0) END AS weight, end_ok AND r_raw IS NOT NULL AS end_ok
+      FROM ok_ JOIN em USING ({IDS}) JOIN lab USING ({IDS}), st)"""
+)
+
+
+def packed(q: DataFrame) -> DataFrame:
+    lab, st = train_stats(q)
+    spec = contract.FeatureContract(("f0", "f1"), volume_norm=("f0",), ema_span=20)
+    return pack.pack(lab, spec, st, ROWS, SPAN, GAP)
+
+
+@query("packed_rows", PACK_SQL + f" SELECT {IDS}, round(f0, 8) + 0.0 AS f0, round(CAST(f1 AS DOUBLE), 8) + 0.0 AS f1, round(weight, 7) AS weight, end_ok FROM pk")
+def _(q):
+    return packed(q).select(*ID, r("f0", 8).alias("f0"), r("f1", 8).alias("f1"), r("weight", 7).alias("weight"), "end_ok")
+
+
+@query(
+    "pack_split_counts",
+    PACK_SQL
+    + f""" SELECT {SPLIT_SQL} AS split, count(DISTINCT stock_code || '/' || date || '/' || session) AS n_sessions, count(*) AS n_rows, count(r_raw) AS n_valid,
+      count(*) FILTER (end_ok) AS n_ends, round(sum(weight), 4) AS weight_sum FROM pk GROUP BY 1""",
+)
+def _(q):
+    c = pack.split_counts(packed(q), clock.split_of(F.col("date"), SPLITS))
+    return c.select("split", "n_sessions", "n_rows", "n_valid", "n_ends", r("weight_sum", 4).alias("weight_sum"))
+
+
+@query("value_summary", label_sql() + " SELECT count(r_raw) AS n, round(avg(r_raw), 9) + 0.0 AS mean, round(stddev_pop(r_raw), 9) AS std, round(min(r_raw), 9) + 0.0 AS least, round(max(r_raw), 9) + 0.0 AS most, round(quantile_cont(r_raw, 0.01), 9) + 0.0 AS q01, round(quantile_cont(r_raw, 0.5), 9) + 0.0 AS q50, round(quantile_cont(r_raw, 0.99), 9) + 0.0 AS q99 FROM lab")
+def _(q):
+    s = pack.summary(labelled(q), "r_raw", {"q01": 0.01, "q50": 0.5, "q99": 0.99})
+    return s.select("n", *[r(x).alias(x) for x in ("mean", "std", "least", "most", "q01", "q50", "q99")])
+
+
+@query("session_join", label_sql() + f" SELECT {KEYS}, count(*) AS n_rows, count(*) FILTER (invalid_reason = 0) AS n_valid FROM lab GROUP BY ALL")
+def _(q):
+    index = labelled(q).groupBy(*KEY).agg(F.count_if("is_valid").alias("n_valid"))
+    return pack.join_sessions(catalog.session_catalog(q).select(*KEY, "n_rows"), index).select(*KEY, "n_rows", "n_valid")
+
+
+@query("first_seen", " SELECT stock_code, f2, min(event_id) AS event_id FROM q GROUP BY 1, 2")
+def _(q):
+    return pack.first_seen(q.select("stock_code", "f2", "event_id"), ["stock_code", "f2"], "event_id")
+
+
+@query("every_nth", f" SELECT {IDS} FROM q WHERE row_idx % 3 = 0 AND row_idx // 3 < 100")
+def _(q):
+    return pack.every_nth(q, 3, 100).select(*ID)
+
+
+@query(
+    "trade_chart",
+    SEG_SQL
+    + f""", mk AS (SELECT {KEYS}, entry_row AS row_idx, CASE WHEN direction > 0 THEN 'long entry' ELSE 'short entry' END AS mark, entry_tk AS price_tk FROM seg
+      UNION ALL SELECT {KEYS}, exit_row, CASE WHEN direction > 0 THEN 'long exit' ELSE 'short exit' END, exit_tk FROM seg)
+    SELECT {IDS}, t_ms, mid2, 'mid' AS mark, NULL AS price_tk FROM q WHERE mid2 IS NOT NULL UNION ALL SELECT {IDS}, t_ms, mid2, mark, price_tk FROM mk JOIN q USING ({IDS})""",
+)
+def _(q):
+    return pack.trade_chart(q, backtest.segments(held(q)))
