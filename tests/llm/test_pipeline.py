@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as cp
+from tickloom.llm import base, tokens, words
 from tickloom.llm.base import staged
 from tickloom.llm.tokens import PieceTokenizer, default_paths
 
@@ -43,3 +44,21 @@ def test_stages_pass_on_what_they_keep(spark, build):
 def test_run(spark):
     rows = cp.run(spark, SF).collect()
     assert rows and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_a_worker_keeps_nothing_of_another_stage(spark, monkeypatch):
+    """What packing leaves in a worker is gone when an earlier stage runs in it again, and freed memory is handed back."""
+    sent, returned = [], []
+    docs = awkward(spark)
+    kind = type(docs)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *more: (sent.append(f), plain(self, f, *more))[1])
+    for _, stage in cp.STAGES[:3]:
+        stage(spark, docs, SF)
+    monkeypatch.setattr(base, "give_back", lambda: returned.append(1))
+    assert len(sent) >= 5
+    for f in sent:
+        tok = tokens.tokenizer(*default_paths())
+        words._powers(1 << 17)
+        assert list(f(iter(()))) is not None and tok not in tokens._loaded.values() and len(words._pow) == 1
+    assert len(returned) == 2 * len(sent)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -126,6 +127,48 @@ def hot_join(df: DataFrame, keyed: DataFrame, on: list[str], how_many: str, tota
     return df.join(F.broadcast(hot), on).unionByName(df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
 
 
+# ---------------------------------------------------------------------------------------
+# Memory of Python workers
+
+#: Functions that drop what a worker process keeps from task to task (tokenizers, tables of powers).
+KEPT: list = []
+
+
+def forget() -> None:
+    for drop in KEPT:
+        drop()
+
+
+def give_back() -> None:
+    """Hand freed memory, which Arrow's pool and malloc keep for later, back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freed(run, keep: bool = False):
+    """``run``, a function for mapInArrow, such that its worker holds little before and after.
+
+    Workers outlive their tasks: what an earlier stage left in them, and what they freed but keep,
+    would count beside the sorts and joins of later stages. With ``keep``, KEPT stays for the next task.
+    """
+
+    def wrapped(batches):
+        if not keep:
+            forget()
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            if not keep:
+                forget()
+            give_back()
+
+    return wrapped
+
+
 # ---------------------------------------------------------------------------------------
 # Arrow → NumPy
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import drop_staged, hot_join, list_array, raw_bytes, sieve, sieved, slices, staged, table
+from .base import drop_staged, freed, hot_join, list_array, raw_bytes, sieve, sieved, slices, staged, table
 from .words import bounds, content_name
 
 MIN_WORDS = 50
@@ -113,7 +113,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
     """(documents, runs): runs (doc, i, m) are later copies of m lines from i on, which may overlap;
     documents (doc, text_name, n_lines) are those that took part."""
     two = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    scanned = staged(two.mapInArrow(_scan(min_words), _DOC), "lines")
+    scanned = staged(two.mapInArrow(freed(_scan(min_words)), _DOC), "lines")
     one = scanned.groupBy("doc_id").agg(F.min(F.struct("text_name", "high", "low", "ahead", "behind")).alias("d"))
     one = staged(one.select(F.col("doc_id").alias("doc"), "d.*"), "lines")
     drop_staged(scanned)
@@ -212,7 +212,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 cols[names.index("n_chars")] = pa.array(sizes, batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep_row, pa.bool_()))
 
-    cleaned = joined.select(*names, "__line_spans", "__line_name").mapInArrow(run, docs.schema)
+    cleaned = joined.select(*names, "__line_spans", "__line_name").mapInArrow(freed(run), docs.schema)
     return seen.where(~F.col("__may")).select(*names).unionByName(cleaned)
 
 

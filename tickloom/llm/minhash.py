@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import drop_staged, hot_join, list_array, raw_bytes, sieve, sieved, slices, staged, table
+from .base import drop_staged, freed, give_back, hot_join, list_array, raw_bytes, sieve, sieved, slices, staged, table
 from .graph import components
 from .words import Names, content_name, distinct, mix, shingles
 
@@ -48,6 +48,8 @@ SEED = 7
 #: Bounds of a block of texts that one task compares with another.
 BLOCK_TEXTS = 1_024
 BLOCK_SHINGLES = 1 << 20
+#: Bytes of a pair of blocks after which a worker hands its memory back.
+LARGE_BLOCK = 4 << 20
 _SIG = "doc_id long, row_key binary, n_shingles long, digest binary, a array<long>, b array<long>"
 _SET = "id long, high array<long>, low array<long>"
 
@@ -153,7 +155,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     """One row for each row of ``docs`` (doc_id, text): doc_id, row_key, n_shingles, component (a
     number; null for a text without words) and component_id, its smallest doc_id."""
     two = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row_key", row_key())
-    sigs = staged(two.mapInArrow(_signatures(k, bands, rows, seed), _SIG), "minhash")
+    sigs = staged(two.mapInArrow(freed(_signatures(k, bands, rows, seed)), _SIG), "minhash")
     full = sigs.where("n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"), F.any_value("a").alias("a"), F.any_value("b").alias("b"), F.count("*").alias("copies"))
     classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "first.doc_id", "first.row_key", "a", "b", "copies"), "classes")
@@ -172,7 +174,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     asked = staged(classes.join(degree, F.col("id") == F.col("i")).select("id", F.col("row_key").alias("asked")), "asked")
     texts = sieved(two.select("row_key", "text"), "row_key", sieve(asked, "asked")).where("__may").select("row_key", "text")
     texts = texts.dropDuplicates(["row_key"]).join(asked.hint("shuffle_hash"), F.col("row_key") == F.col("asked")).select("id", "text")
-    sets = staged(texts.mapInArrow(_sets(k), _SET), "sets")
+    sets = staged(texts.mapInArrow(freed(_sets(k)), _SET), "sets")
     drop_staged(asked)
 
     ranked = keys2.join(degree, F.col("id") == F.col("i"))
@@ -301,7 +303,14 @@ def _block_links(percent: int):
                     v_out.append(ids[v])
         return pa.table({"u": pa.array(u_out, pa.int64()), "v": pa.array(v_out, pa.int64())})
 
-    return run
+    def lean(t: pa.Table) -> pa.Table:
+        out, large = run(t), t.nbytes > LARGE_BLOCK
+        del t
+        if large:
+            give_back()
+        return out
+
+    return lean
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

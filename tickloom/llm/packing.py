@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import raw_bytes, slices, staged, table
+from .base import freed, raw_bytes, slices, staged, table
 from .tokens import default_paths, tokenizer
 
 LIMIT = 1024
 END = 0
+#: Bytes of text that are encoded at once; a worker's arrays grow with it.
+SLICE = 1 << 19
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
@@ -99,7 +101,7 @@ def _cut(paths: tuple, limit: int, end: int):
         for batch in batches:
             data, offsets = raw_bytes(batch.column("text"))
             doc = batch.column("doc_id")
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 ids, at = tok.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.diff(at) + 1
                 pieces = -(-n // limit)
@@ -133,7 +135,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, end: int = END, paths: tuple | Non
     """Pieces of all rows of ``docs`` (doc_id, text) with their sequence_id and offset."""
     spark = docs.sparkSession
     two = docs.select(F.col("doc_id").cast("long"), "text")
-    pieces = staged(two.mapInArrow(_cut(paths or default_paths(), limit, end), _PIECE), "pieces")
+    pieces = staged(two.mapInArrow(freed(_cut(paths or default_paths(), limit, end), keep=True), _PIECE), "pieces")
     counts = staged(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # limit rows at most
     places = slots(shortest_pack_first(histogram, limit))

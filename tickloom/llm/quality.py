@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import drop_staged, raw_bytes, slices, small_batches, staged, table
+from .base import drop_staged, freed, raw_bytes, slices, small_batches, staged, table
 from .words import Prefix, mix
 
 BUCKETS = 1 << 17
@@ -188,7 +188,7 @@ def resample(docs: DataFrame, labels: DataFrame, miss: float = MISS, seed: int =
     extra = list(source)
     two = two.join(F.broadcast(lab), F.col("doc_id") == F.col("l"), "left").drop("l")
 
-    counts = two.select("text", "good").mapInArrow(_histogram, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    counts = two.select("text", "good").mapInArrow(freed(_histogram), "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, fit = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     with small_batches(spark):
         got = counts.collect()  # BUCKETS rows at most
@@ -196,7 +196,7 @@ def resample(docs: DataFrame, labels: DataFrame, miss: float = MISS, seed: int =
         raw[r.bucket], fit[r.bucket] = r.raw, r.good
     model = spark.sparkContext.broadcast(log_ratio(raw, fit))
     kind = StructType(StructType.fromDDL("doc_id long, log_weight double, noisy double, place long, good int").fields + two.select(*[F.col(c).alias(k) for k, c in source.items()]).schema.fields)
-    scored = staged(two.mapInArrow(_score(model, seed, source), kind), "weights")
+    scored = staged(two.mapInArrow(freed(_score(model, seed, source)), kind), "weights")
     drop_staged(lab)
     level = scored.where("good = 2").agg(F.percentile("log_weight", F.lit(miss)).alias("x")).first()["x"]
     if level is None:

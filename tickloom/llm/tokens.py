@@ -17,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 
+from .base import KEPT
 from .words import bounds
 
 #: Pieces remembered by a worker process; beyond that its cache starts anew.
@@ -223,6 +224,7 @@ class PieceTokenizer:
 
 
 _loaded: dict[tuple, PieceTokenizer] = {}
+KEPT.append(_loaded.clear)
 
 
 def tokenizer(path: str, ranks: str | None = None) -> PieceTokenizer:

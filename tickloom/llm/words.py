@@ -19,6 +19,8 @@ from itertools import chain
 
 import numpy as np
 
+from .base import KEPT
+
 _M64 = (1 << 64) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -53,6 +55,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow, _inv
 
 
+def _forget() -> None:
+    global _pow, _inv
+    _pow, _inv = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+KEPT.append(_forget)
+
+
 class Prefix:
     """Prefix sums over a byte array; ``span(a, b)`` hashes any byte ranges of it."""
 
