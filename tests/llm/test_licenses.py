@@ -119,6 +119,26 @@ def test_spdx_tags():
     assert spans("An SPDX-License-Identifier: see the license") == spans("the SPDX-License-Identifier tag") == []
 
 
+def test_compression_ranks_every_template_before_any_wording_is_checked(monkeypatch):
+    steps = []
+    ranked, at = licenses.Templates.ranked, licenses.Statement.at
+
+    def watched(self, *a):
+        steps.append([n for _, n in ranked(self, *a)])
+        return ranked(self, *a)
+
+    monkeypatch.setattr(licenses.Templates, "ranked", watched)
+    monkeypatch.setattr(licenses.Statement, "at", lambda self, *a: (steps.append(self.name), at(self, *a))[1])
+    for text in ("Licensed to nobody: the licence was lost.", "Released under the MIT License. Licensed under CC BY-NC 4.0."):
+        steps.clear()
+        spans(text)
+        order, *tried = steps
+        assert sorted(order) == sorted(licenses.EVERY)  # once a block, with all templates
+        assert [order.index(n) for n in tried] == sorted(order.index(n) for n in tried)
+    found = licenses.scan_text(b"SPDX-License-Identifier: BSL-1.0 OR MIT", KNOWN)[1]
+    assert [(f[0], f[3] > 0) for f in found] == [("BSL-1.0", True), ("MIT", True)]
+
+
 def test_awkward_and_empty(spark):
     assert licenses.scan_licenses(awkward(spark)).count() == awkward(spark).count()
     assert licenses.scan_licenses(empty(spark)).count() == 0

@@ -1,16 +1,18 @@
 """License scans by conditional compression.
 
 A candidate block (the words around a cue such as "licen", "copyright" or "warrant", so many that
-any statement with the cue lies whole in it) is searched for every statement of every template by
-exact wording: words missing, or added, inside a stretch may be DIFFERENCES of the statement at
-most (so none in a short one) and none of them in a word with a digit or one that tells licenses apart. SPDX tags are read as
-expressions; a bare name ("MIT License") grants nothing and is no finding. A stretch may run over line
+any statement with the cue lies whole in it) is compressed alone and once with each template as
+zstandard raw dictionary; templates rank by the bytes that knowing them saves. In that order all of
+them, none left out, are then confirmed by exact wording: words missing, or added, inside a stretch
+may be DIFFERENCES of the statement at most (so none in a short one) and none of them in a word with
+a digit or one that tells licenses apart. SPDX tags are read as expressions; a template holds its own
+tag, and a license known by its tag alone is a template of that line, ranked where the tag stands. A
+bare name ("MIT License") grants nothing and is no finding. A stretch may run over line
 feeds and comment markers (MARKERS are words), and that of a statement which bears differences over
-empty lines; one of a few words stands within a paragraph. Of overlapping
-statements the one with the fewest differences counts, then the longest. Then ranks the bytes that
-knowing its template as zstandard raw dictionary saves of the compressed block; savings only order,
-as ordinary words around a short statement save more with the longer templates. A block with a
-confirmed statement is compressed alone and once with each template. All that are confirmed are findings.
+empty lines; one of a few words stands within a paragraph. Of overlapping statements the one with the
+fewest differences counts, then the longest, then the one whose template ranks first; no rank rules a
+template out, as ordinary words around a short statement save more with the longer templates. All
+that are confirmed are findings.
 
 Defined results: null text is empty; rows with null or repeated doc_id are scanned like any
 other; offsets are code points, end exclusive; of equal savings the template first by name wins.
@@ -98,6 +100,7 @@ def _wordings() -> dict[str, list[str]]:
 EVERY = _wordings()
 CUES = (b"licen", b"copyright", b"warrant", b"redistribut", b"permission", b"creative", b"spdx")
 DIFFERENCES = 0.1
+TAG = "SPDX-License-Identifier: "
 MARKERS = ("dnl", "rem")
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _BY = re.compile(rb"cc[\W_]+by")
@@ -116,6 +119,7 @@ class Statement:
         self.most = int(DIFFERENCES * len(self.words))
         self.digits = [w for w in self.words if any(c.isdigit() for c in w)]
         self.names = names(self.words)
+        self.first = dict.fromkeys(self.words[: self.most + 1])  # one of them at least is there
         self.bits: dict[str, int] = {}
         for i, w in enumerate(self.words):
             self.bits[w] = self.bits.get(w, 0) | 1 << i
@@ -163,47 +167,48 @@ class Templates:
         import zstandard as z
 
         self.plain = z.ZstdCompressor(level=9, write_content_size=False)
+        self.given = lambda texts: z.ZstdCompressor(level=9, dict_data=z.ZstdCompressionDict("\n".join(texts).encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False)
         self.known = []
         self.tags = {t.lower(): t for t in [*TAGS, *templates]}
-        self.starts: dict[str, list[Statement]] = {}
+        self.statements: dict[str, list[Statement]] = {}
         self.reach = 0
         for name in sorted(templates):
-            d = z.ZstdCompressionDict("\n".join(templates[name]).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-            self.known.append((name, z.ZstdCompressor(level=9, dict_data=d, write_content_size=False)))
-            for s in (Statement(name, t) for t in templates[name]):
-                self.reach = max(self.reach, len(s.words) + s.most)
-                for w in set(s.words[: s.most + 1]):  # of the first words, one at least is there
-                    self.starts.setdefault(w, []).append(s)
-
-    def ranked(self, block: bytes, only: set[str] | None = None) -> list[tuple[int, str]]:
-        """(bytes saved, name), most first."""
+            self.known.append((name, self.given([TAG + name, *templates[name]])))
+            self.statements[name] = [Statement(name, t) for t in templates[name]]
+            self.reach = max([self.reach, *(len(s.words) + s.most for s in self.statements[name])])
+
+    def ranked(self, block: bytes, tags: set[str] = frozenset()) -> list[tuple[int, str]]:
+        """(bytes saved, name) of every template, most first; ``tags``: names that may have no template but their tag."""
         alone = len(self.plain.compress(block))
-        return sorted(((alone - len(c.compress(block)), n) for n, c in self.known if only is None or n in only), key=lambda x: (-x[0], x[1]))
+        more = [(n, self.given([TAG + n])) for n in sorted(tags) if n not in self.statements]
+        return sorted(((alone - len(c.compress(block)), n) for n, c in self.known + more), key=lambda x: (-x[0], x[1]))
 
     def find_all(self, block: str, found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int, int]]:
         """(name, saved, differences, start, end) of every confirmed statement, in order, none overlapping.
 
-        Of overlapping ones the one with the fewest differences stays, then the longest, then the one
-        whose template saves most. ``found``: the block's words, with their offsets in the text.
+        The block is compressed with every template first; in the order of what they save, all are
+        looked for. Of overlapping statements the one with the fewest differences stays, then the
+        longest, then the one whose template ranks first. ``found``: the block's words, with their offsets in the text.
         """
         words, paragraphs = [f[0] for f in found], [f[3] for f in found]
-        hits, end = [], 0
-        for a, w in enumerate(words):
-            if a == end:
-                while end < len(words) and paragraphs[end] == paragraphs[a]:
-                    end += 1
-            for s in self.starts.get(w, ()):
-                if hit := s.at(words, a, end):
-                    hits.append((hit[0], -len(s.words), s.name, a, hit[1]))
         tags = [(name, found[0][1] + a, found[0][1] + b) for name, a, b in self.tagged(block)] if "spdx-license-identifier" in words else []
-        if not hits and not tags:
-            return []
-        saved = {name: n for n, name in self.ranked(block.encode(), {h[2] for h in hits} | {t[0] for t in tags})}
-        out, taken = [(name, saved.get(name, 0), 0, a, b) for name, a, b in tags], bytearray(len(words))
-        for d, _, name, a, b in sorted(hits, key=lambda h: (h[0], h[1], -saved[h[2]], h[2], h[3], h[4])):
+        at: dict[str, list[int]] = {}
+        for a, w in enumerate(words):
+            at.setdefault(w, []).append(a)
+        ends, hits, out = None, [], []
+        for rank, (saved, name) in enumerate(self.ranked(block.encode(), {t[0] for t in tags})):
+            out += [(name, saved, 0, a, b) for n, a, b in tags if n == name]
+            for s in self.statements.get(name, ()):
+                for w in s.first:
+                    for a in at.get(w, ()):
+                        ends = ends or paragraph_ends(paragraphs)
+                        if hit := s.at(words, a, ends[a]):
+                            hits.append((hit[0], -len(s.words), rank, a, hit[1], name, saved))
+        taken = bytearray(len(words))
+        for d, _, _, a, b, name, saved in sorted(hits):
             if not any(taken[a:b]):
                 taken[a:b] = b"\1" * (b - a)
-                out.append((name, saved[name], d, found[a][1], found[b - 1][2]))
+                out.append((name, saved, d, found[a][1], found[b - 1][2]))
         return sorted(out, key=lambda x: x[3])
 
     def tagged(self, block: str):
@@ -225,6 +230,14 @@ class Templates:
         return min(self.find_all(block, list(word_places(block))), key=lambda x: x[2], default=None)
 
 
+def paragraph_ends(paragraphs: list[int]) -> list[int]:
+    """For each word, the first one behind its paragraph."""
+    out = [len(paragraphs)] * len(paragraphs)
+    for a in range(len(paragraphs) - 2, -1, -1):
+        out[a] = out[a + 1] if paragraphs[a] == paragraphs[a + 1] else a + 1
+    return out
+
+
 def word_places(text: str):
     """(lower-case word, start, end, its paragraph) of each word; a line without words ends a paragraph."""
     paragraph = last = 0
